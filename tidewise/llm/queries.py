@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, minhash_dedup
 
 QUERIES = {
+    "op1_minhash_dedup": minhash_dedup.op1_minhash_dedup,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
-SQL = {k: v for module in (exact_dedup,) for k, v in module.SQL.items()}
+SQL = {k: v for module in (exact_dedup, minhash_dedup) for k, v in module.SQL.items()}
