@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, minhash_dedup, url_filter, warc
+from . import decontaminate, exact_dedup, minhash_dedup, url_filter, warc
 
 QUERIES = {
     "op1_minhash_dedup": minhash_dedup.op1_minhash_dedup,
     "op3_url_filter": url_filter.op3_url_filter,
     "op6_warc": warc.op6_warc,
+    "op7_decontaminate": decontaminate.op7_decontaminate,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
-SQL = {k: v for module in (exact_dedup, minhash_dedup, url_filter, warc) for k, v in module.SQL.items()}
+SQL = {k: v for module in (decontaminate, exact_dedup, minhash_dedup, url_filter, warc) for k, v in module.SQL.items()}
