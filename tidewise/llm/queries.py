@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, minhash_dedup, quality, url_filter, warc
+from . import decontaminate, exact_dedup, minhash_dedup, packing, quality, url_filter, warc
 
 QUERIES = {
     "op1_minhash_dedup": minhash_dedup.op1_minhash_dedup,
     "op3_url_filter": url_filter.op3_url_filter,
+    "op5_packing": packing.op5_packing,
     "op6_warc": warc.op6_warc,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_quality": quality.op8_quality,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
-SQL = {k: v for module in (decontaminate, exact_dedup, minhash_dedup, quality, url_filter, warc) for k, v in module.SQL.items()}
+SQL = {k: v for module in (decontaminate, exact_dedup, minhash_dedup, packing, quality, url_filter, warc) for k, v in module.SQL.items()}
