@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, minhash_dedup, packing, quality, url_filter, warc
+from . import decontaminate, exact_dedup, minhash_dedup, packing, pii, quality, url_filter, warc
 
 QUERIES = {
     "op1_minhash_dedup": minhash_dedup.op1_minhash_dedup,
+    "op2_pii": pii.op2_pii,
     "op3_url_filter": url_filter.op3_url_filter,
     "op5_packing": packing.op5_packing,
     "op6_warc": warc.op6_warc,
@@ -13,4 +14,4 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
-SQL = {k: v for module in (decontaminate, exact_dedup, minhash_dedup, packing, quality, url_filter, warc) for k, v in module.SQL.items()}
+SQL = {k: v for module in (decontaminate, exact_dedup, minhash_dedup, packing, pii, quality, url_filter, warc) for k, v in module.SQL.items()}
