@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, minhash_dedup, packing, pii, quality, url_filter, warc
+from . import decontaminate, exact_dedup, lm_scoring, minhash_dedup, packing, pii, quality, url_filter, warc
 
 QUERIES = {
     "op1_minhash_dedup": minhash_dedup.op1_minhash_dedup,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_warc": warc.op6_warc,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_quality": quality.op8_quality,
+    "op9_lm_scoring": lm_scoring.op9_lm_scoring,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
-SQL = {k: v for module in (decontaminate, exact_dedup, minhash_dedup, packing, pii, quality, url_filter, warc) for k, v in module.SQL.items()}
+SQL = {k: v for module in (decontaminate, exact_dedup, lm_scoring, minhash_dedup, packing, pii, quality, url_filter, warc) for k, v in module.SQL.items()}
