@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, lm_scoring, minhash_dedup, packing, pii, quality, url_filter, warc
+from . import decontaminate, exact_dedup, line_dedup, lm_scoring, minhash_dedup, packing, pii, quality, url_filter, warc
 
 QUERIES = {
     "op1_minhash_dedup": minhash_dedup.op1_minhash_dedup,
     "op2_pii": pii.op2_pii,
     "op3_url_filter": url_filter.op3_url_filter,
+    "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_packing": packing.op5_packing,
     "op6_warc": warc.op6_warc,
     "op7_decontaminate": decontaminate.op7_decontaminate,
@@ -15,4 +16,4 @@ QUERIES = {
     "op9_lm_scoring": lm_scoring.op9_lm_scoring,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
-SQL = {k: v for module in (decontaminate, exact_dedup, lm_scoring, minhash_dedup, packing, pii, quality, url_filter, warc) for k, v in module.SQL.items()}
+SQL = {k: v for module in (decontaminate, exact_dedup, line_dedup, lm_scoring, minhash_dedup, packing, pii, quality, url_filter, warc) for k, v in module.SQL.items()}
