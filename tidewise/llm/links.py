@@ -2,8 +2,8 @@
 
 A key may be held by a third of all rows, so its rows are never paired with each other. First each row is checked
 against one leader of each of its keys; links found so merge rows into components. Then only keys that still hold
-several components matter, for two rounds with other leaders, and in the end every remaining pair of rows of
-different components that share a key is checked, so no link between components is lost.
+several components matter, for further rounds with other leaders, and in the end every remaining pair of rows of
+different components that share a key and may be linked is checked, so no link between components is lost.
 """
 
 from __future__ import annotations
@@ -48,41 +48,43 @@ def frequent_keys(keys: DataFrame) -> DataFrame:
     return written(keys.join(held, "key"), "keys")
 
 
-def linked(keys: DataFrame, about: DataFrame, near: Callable[[str, str], Column], confirm: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+def linked(
+    keys: DataFrame, about: DataFrame, near: Callable[[str, str], Column], confirm: Callable[[DataFrame], DataFrame], quick: Callable[[str, str], Column], quick_cols: list[str]
+) -> tuple[DataFrame, DataFrame]:
     """(id, root) of ids with a smaller one in their group, and the confirmed links (a, b).
 
-    keys: (key, id). about: (id, ...) what the cheap check needs. near("a", "b"): that check, over columns a.x and b.x
-    given as prefixes. confirm: from pairs (a, b) to those of them that are links.
+    keys: (key, id), each key held by two ids at least. about: (id, ...) what the cheap check needs. near("a", "b"):
+    that check, over columns of about with the prefixes a_ and b_; it must hold for every link. quick: a weaker and
+    cheaper one, over quick_cols, for all pairs that the last step looks at. confirm: from pairs (a, b) to the links.
     """
-    spark = keys.sparkSession
-    keys = frequent_keys(keys)
     cols = [c for c in about.columns if c != "id"]
     held = written(about.join(keys.select("id").distinct(), "id", "left_semi"), "about")
     side = lambda p: held.select(F.col("id").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in cols])
-    links = roots = None
-    open_keys = keys.withColumn("root", F.col("id"))
+    checked = lambda pairs: pairs.join(side("a"), "a").join(side("b"), "b").where(near("a", "b")).select("a", "b")
+    open_keys, links, roots = keys.withColumn("root", F.col("id")), None, None
     for k in range(LEADER_ROUNDS):
-        first = F.min(F.struct(F.xxhash64("id", F.lit(k)) if k else F.col("id"), F.col("id").alias("a"), F.col("root").alias("a_root"))).alias("first")
+        by = F.xxhash64("id", F.lit(k)) if k else F.lit(0)
+        first = F.min(F.struct(by.alias("by"), F.col("id").alias("a"), F.col("root").alias("a_root"))).alias("first")
         leaders = open_keys.groupBy("key").agg(first).select("key", "first.a", "first.a_root")
         pairs = open_keys.select("key", F.col("id").alias("b"), "root").join(leaders, "key").where("root <> a_root").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(near("a", "b")).select("a", "b")
-        found = written(confirm(written(pairs, "pairs")), "links")
-        if k and found.isEmpty():
-            break
+        found = written(confirm(written(checked(pairs), "pairs")), "links")
         links = found if links is None else links.unionByName(found)
-        roots = components(links)
-        open_keys = written(_open(keys, roots), "open-keys")
+        if roots is None or not found.isEmpty():
+            roots = written(components(links), "roots")
+            open_keys = written(_open(keys, roots), "open-keys")
         if open_keys.isEmpty():
             return roots, links
     # every pair of rows of different components that still share a key
-    x, y = (open_keys.join(held, "id").select("key", F.col("id").alias(p), F.col("root").alias(f"{p}_root"), *[F.col(c).alias(f"{p}_{c}") for c in cols]) for p in "ab")
-    rest = x.join(y, "key").where(F.col("a_root") < F.col("b_root")).where(near("a", "b")).select("a", "b").distinct()
-    links = links.unionByName(written(confirm(written(rest, "pairs")), "links"))
-    return components(links), links
+    some = held.select("id", *quick_cols)
+    x, y = (open_keys.join(some, "id").select("key", F.col("id").alias(p), F.col("root").alias(f"{p}_root"), *[F.col(c).alias(f"{p}_{c}") for c in quick_cols]) for p in "ab")
+    rest = x.join(y, "key").where(F.col("a_root") < F.col("b_root")).where(quick("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = written(confirm(written(checked(rest), "pairs")), "links")
+    links = links.unionByName(found)
+    return (roots if found.isEmpty() else components(links)), links
 
 
 def _open(keys: DataFrame, roots: DataFrame) -> DataFrame:
-    """Keys that more than one component holds."""
+    """The rows of keys that more than one component holds, with their root."""
     now = keys.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     many = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     return now.join(many, "key")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .links import linked
+from .links import frequent_keys, linked
 from .store import BUCKETS, written
 from .words import SPACED, gram_hashes, mixed, text_slices, word_hashes
 
@@ -30,6 +30,7 @@ CHUNKS, SLOTS = 12, 5
 LONGS = CHUNKS * SLOTS // 4
 #: Two signatures within this distance have a chunk with at most one error.
 RADIUS = 2 * CHUNKS - 1
+PARITY, FOLDS = 1024, 4
 _FACTORS = mixed(np.arange(1, CHUNKS * SLOTS + 1, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25)) | np.uint64(1)
 
 
@@ -48,9 +49,10 @@ def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
 
 def _sketches(batches, width: int):
     for batch in batches:
-        n, one, two, sig = [], [], [], []
+        n, one, two, sig, parity = [], [], [], [], []
         for grams in shingle_sets(batch.column(1), width):
             n.append(len(grams))
+            parity.append(np.packbits(np.bincount((grams & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY).astype(np.uint8) & 1).view("<i8"))
             one.append(mixed(grams).sum(dtype=np.uint64).view(np.int64))
             two.append((mixed(grams ^ np.uint64(0x5851F42D4C957F2D))).sum(dtype=np.uint64).view(np.int64))
             if len(grams):
@@ -58,9 +60,11 @@ def _sketches(batches, width: int):
                 sig.append((mixed(least) >> np.uint64(50)).astype("<u2").view("<i8"))
             else:
                 sig.append(np.zeros(LONGS, "<i8"))
-        flat = np.concatenate(sig) if sig else np.zeros(0, "<i8")
-        signatures = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, LONGS, dtype=np.int32)), pa.array(flat))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), signatures], names=["id", "n", "d1", "d2", "sig"])
+        columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64())]
+        for lists, width_of in ((sig, LONGS), (parity, PARITY // 64)):
+            flat = np.concatenate(lists) if lists else np.zeros(0, "<i8")
+            columns.append(pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, width_of, dtype=np.int32)), pa.array(flat)))
+        yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "d1", "d2", "sig", "parity"])
 
 
 def _chunk_keys(batches):
@@ -85,6 +89,11 @@ def distance_at_most(a: str, b: str, radius: int = RADIUS) -> Column:
     return reduce(lambda p, q: p + q, (lanes(k) for k in range(LONGS))) <= radius
 
 
+def differing(a: str, b: str) -> Column:
+    """The parity bits in which two sets differ, never more than the shingles in which they do (Sandes et al. 2017)."""
+    return reduce(lambda p, q: p + q, (F.bit_count(F.col(f"{a}_parity")[k].bitwiseXOR(F.col(f"{b}_parity")[k])) for k in range(PARITY // 64)))
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """One row for each row of docs: id, n_shingles, component_id, kept.
 
@@ -93,9 +102,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     nearly all of which still meet in one of the 60 keys.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    all_rows = written(rows.mapInArrow(lambda it: _sketches(it, width), "id long, n long, d1 long, d2 long, sig array<long>"), "sketches")
+    all_rows = written(rows.mapInArrow(lambda it: _sketches(it, width), "id long, n long, d1 long, d2 long, sig array<long>, parity array<long>"), "sketches")
     nodes = written(
-        all_rows.where("n > 0 and id is not null").groupBy("d1", "d2").agg(F.min(F.struct("id", "n", "sig")).alias("x")).select("d1", "d2", "x.*"), "nodes"
+        all_rows.where("n > 0 and id is not null").groupBy("d1", "d2").agg(F.min(F.struct("id", "n", "sig", "parity")).alias("x")).select("d1", "d2", "x.*"), "nodes"
     )
     keys = nodes.select("id", "sig").mapInArrow(_chunk_keys, "key long, id long")
 
@@ -112,19 +121,30 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
         return some.mapInArrow(grams, "id long, grams array<long>")
 
+    keys = frequent_keys(keys)
+    full = written(sets(keys.select("id").distinct()), "sets")
+
     def confirm(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        full = written(sets(ids), "sets")
         one = full.select(F.col("id").alias("a"), F.col("grams").alias("a_grams"))
         two = full.select(F.col("id").alias("b"), F.col("grams").alias("b_grams"))
         shared = F.size(F.array_intersect("a_grams", "b_grams"))
         return pairs.join(one, "a").join(two, "b").where(100 * shared >= percent * (F.size("a_grams") + F.size("b_grams") - shared)).select("a", "b").distinct()
 
-    def near(a: str, b: str) -> Column:
+    def may_link(a: str, b: str, bits: Column) -> Column:
+        # at the threshold p, two sets differ in (1 - p) / (1 + p) of their sizes' sum
         sizes = F.least(f"{a}_n", f"{b}_n") * 100 >= F.greatest(f"{a}_n", f"{b}_n") * percent
-        return sizes & distance_at_most(a, b)
+        return sizes & ((100 + percent) * bits <= (100 - percent) * (F.col(f"{a}_n") + F.col(f"{b}_n")))
+
+    def near(a: str, b: str) -> Column:
+        return may_link(a, b, differing(a, b)) & distance_at_most(a, b)
+
+    def quick(a: str, b: str) -> Column:
+        return may_link(a, b, reduce(lambda p, q: p + q, (F.bit_count(F.col(f"{a}_q{k}").bitwiseXOR(F.col(f"{b}_q{k}"))) for k in range(FOLDS))))
 
-    roots, _ = linked(keys, nodes.select("id", "n", "sig"), near, confirm)
+    # words of the parity bits folded onto each other are the parity bits of a shorter map
+    folded = [reduce(lambda p, q: p.bitwiseXOR(q), (F.col("parity")[j] for j in range(k, PARITY // 64, FOLDS))).alias(f"q{k}") for k in range(FOLDS)]
+    about = nodes.select("id", "n", "sig", "parity", *folded)
+    roots, _ = linked(keys, about, near, confirm, quick, ["n", *(f"q{k}" for k in range(FOLDS))])
     node = nodes.select("d1", "d2", F.col("id").alias("node"))
     joined = all_rows.select("id", "n", "d1", "d2").join(node, ["d1", "d2"], "left").join(roots.withColumnRenamed("id", "node"), "node", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("root", "node", "id"))
