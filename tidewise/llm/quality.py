@@ -182,16 +182,22 @@ def fit(rows: DataFrame, *, features: int, width: float, ridge: float, seed: int
     return kernel
 
 
-def quality_scores(
-    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5, features: int = 224, width: float = 0.8, ridge: float = 0.05, seed: int = 17, threshold: float = 0.3, tasks: int = 16
-) -> DataFrame:
-    """One row for each row of docs: id, held_out, score, predicted. Rows in fold 0 of `folds` teach nothing."""
+def _learnt(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, folds: int, features: int, width: float, ridge: float, seed: int, tasks: int) -> tuple[DataFrame, Kernel | float]:
+    """The statistics (id, x, fold) of docs, and a model of the labelled ones outside fold 0."""
     stats = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = stats.schema["id"].dataType.simpleString()
     stats = written(stats.mapInArrow(_stat_rows, f"id {kind}, x array<float>").withColumn("fold", fold(F.col("id"), folds)), "statistics")
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1)")
     rows = written(stats.where("fold <> 0").join(known, "id").select("x", "y", (F.col("fold") == 1).alias("calibrate")), "labelled")
-    model = fit(rows, features=features, width=width, ridge=ridge, seed=seed, tasks=tasks)
+    return stats, fit(rows, features=features, width=width, ridge=ridge, seed=seed, tasks=tasks)
+
+
+def quality_scores(
+    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5, features: int = 224, width: float = 0.8, ridge: float = 0.05, seed: int = 17, threshold: float = 0.3, tasks: int = 16
+) -> DataFrame:
+    """One row for each row of docs: id, held_out, score, predicted. Rows in fold 0 of `folds` teach nothing."""
+    stats, model = _learnt(docs, labels, id_col, text_col, label_col, folds, features, width, ridge, seed, tasks)
+    kind = stats.schema["id"].dataType.simpleString()
 
     def scored(batches):
         for batch in batches:
@@ -202,6 +208,22 @@ def quality_scores(
     return stats.select("id", "fold", "x").mapInArrow(scored, f"id {kind}, held_out boolean, score double, predicted int")
 
 
+def good_documents(
+    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5, features: int = 224, width: float = 0.8, ridge: float = 0.05, seed: int = 17, threshold: float = 0.3, tasks: int = 16
+) -> DataFrame:
+    """The rows of docs with a score of at least `threshold`, with all their columns; texts are scored as they are read."""
+    _, model = _learnt(docs, labels, id_col, text_col, label_col, folds, features, width, ridge, seed, tasks)
+    at = docs.columns.index(text_col)
+
+    def good(batches):
+        for batch in batches:
+            x = statistics(batch.column(at)).astype(np.float32).astype(float)
+            s = np.full(len(x), model) if isinstance(model, float) else model.score(x)
+            yield batch.filter(pa.array(s >= threshold))
+
+    return docs.mapInArrow(good, docs.schema)
+
+
 def op8_quality(spark, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     return quality_scores(docs, labels).withColumnRenamed("id", "doc_id")

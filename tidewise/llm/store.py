@@ -48,3 +48,18 @@ def lower_ascii(c):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
+    """docs without the rows whose id is in gone (id), which need not be distinct; null ids stay.
+
+    At most BUCKETS hash numbers of the ids in gone are broadcast. Rows with other numbers pass as they are read; only
+    the rest is shuffled for the exact anti-join.
+    """
+    gone = gone.select(F.col("id").alias("_gone")).where("_gone is not null").distinct()
+    number = lambda c: F.pmod(F.xxhash64(F.col(c).cast("string")), F.lit(BUCKETS))
+    numbers = F.broadcast(gone.select(number("_gone").alias("_number")).distinct())
+    marked = docs.withColumn("_number", number(id_col))
+    rest = marked.join(numbers, "_number", "left_semi")
+    rest = rest.join(gone, rest[id_col] == gone["_gone"], "left_anti")
+    return marked.join(numbers, "_number", "left_anti").drop("_number").unionByName(rest.select(*docs.columns))
