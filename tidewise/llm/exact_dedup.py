@@ -25,6 +25,7 @@ STATE = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "300",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else each partition's store sets MBs of disk aside
     "spark.sql.streaming.minBatchesToRetain": "2",
 }
 
@@ -109,8 +110,9 @@ def other_bytes(docs: DataFrame, state: DataFrame, id_col: str, text_col: str, d
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).select(
         "id", F.char_length("text").cast("long").alias("n_chars"), normalised(F.col("text")).alias("bytes")
     )
-    # at most BUCKETS numbers are broadcast; they spare most rows without a copy the shuffle
+    # at most BUCKETS numbers are broadcast; they spare most rows without a copy the shuffle. Written, as it is read twice
     members = texts.withColumn("digest", digest(F.col("bytes"))).withColumn("slot", slot).join(F.broadcast(hits.select(slot.alias("slot")).distinct()), "slot", "left_semi").drop("slot")
+    members = written(members, "hits")
     # joined on the whole key, so a digest with many rows is spread out
     best = hits.select(F.col("digest").alias("best_digest"), "best_id", (-F.col("best_less")).alias("best_chars"))
     is_best = (F.col("digest") == F.col("best_digest")) & F.col("id").eqNullSafe(F.col("best_id")) & (F.col("n_chars") == F.col("best_chars"))
