@@ -37,6 +37,8 @@ def top_by_dot(queries: DataFrame, items: DataFrame, k: int, *, digits: int = 6,
         q = dealt.groupBy("qb").agg(F.collect_list("e").alias("qb_rows"))
     pairs = q.crossJoin(i).repartition(n_q * n_i, "qb", "ib") if n_q * n_i > 1 else q.crossJoin(i)
 
+    has_spare = spare is not None
+
     def best(frames):
         for frame in frames:
             for left, right in zip(frame["qb_rows"], frame["ib_rows"]):
@@ -46,7 +48,7 @@ def top_by_dot(queries: DataFrame, items: DataFrame, k: int, *, digits: int = 6,
                 order_of_ties = np.argsort(np.argsort(ids.astype(str), kind="stable"), kind="stable")
                 out = []
                 for row, e in zip(scores, left):
-                    most = min(len(row), k + int(exclude_self) + int(e["s"] if spare is not None else 0))
+                    most = min(len(row), k + int(exclude_self) + (int(e["s"]) if has_spare else 0))
                     limit = np.partition(row, len(row) - most)[len(row) - most]
                     some = np.flatnonzero(row >= limit)  # with all ties at the edge
                     some = some[np.lexsort((order_of_ties[some], -row[some]))][:most]

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from . import content_queries, interaction_queries, model_queries
 
-def queries():
-    return {}
+MODULES = (interaction_queries, model_queries, content_queries)
 
 
-def oracle_sql():
-    return {}
+def queries() -> dict:
+    return {name: f for module in MODULES for name, f in module.QUERIES.items()}
 
 
-def entry(spark, sf_dir):
-    raise NotImplementedError
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for module in MODULES for name, sql in module.SQL.items()}
+
+
+def entry(spark, sf_dir: str):
+    """Holdout split, popularity, unseen top ten, metrics: the leaderboard of two models."""
+    return model_queries.leaderboard_join(spark, sf_dir)
