@@ -8,7 +8,7 @@ blocks, and the result of a block pair has k rows for each query.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,23 +39,31 @@ def top_by_dot(queries: DataFrame, items: DataFrame, k: int, *, digits: int = 6,
 
     has_spare = spare is not None
 
-    def best(frames):
-        for frame in frames:
-            for left, right in zip(frame["qb_rows"], frame["ib_rows"]):
-                a, b = (np.array([e["vec"] for e in side], float) for side in (left, right))
-                ids = np.array([e["id"] for e in right], dtype=object)
+    def unpacked(rows):
+        """Ids, matrix of vectors, and spare counts of one block."""
+        ids, vec = rows.field("id"), rows.field("vec")
+        matrix = vec.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(ids), -1) if len(ids) else np.zeros((0, 0))
+        return ids, matrix, rows.field("s").to_numpy(zero_copy_only=False) if has_spare and "s" in [f.name for f in rows.type] else np.zeros(len(ids), int)
+
+    def best(batches):
+        for batch in batches:
+            for left, right in zip(batch.column(0), batch.column(1)):
+                (users, a, extra), (ids, b, _) = unpacked(left.values), unpacked(right.values)
+                if not len(users) or not len(ids):
+                    continue
                 scores = np.round(a @ b.T, digits) + 0.0
-                order_of_ties = np.argsort(np.argsort(ids.astype(str), kind="stable"), kind="stable")
-                out = []
-                for row, e in zip(scores, left):
-                    most = min(len(row), k + int(exclude_self) + (int(e["s"]) if has_spare else 0))
-                    limit = np.partition(row, len(row) - most)[len(row) - most]
-                    some = np.flatnonzero(row >= limit)  # with all ties at the edge
+                order_of_ties = np.argsort(np.argsort(np.array(ids.cast("string").to_pylist()), kind="stable"), kind="stable")
+                rows, columns = [], []
+                for r, (row, s) in enumerate(zip(scores, extra)):
+                    most = min(len(row), k + int(exclude_self) + int(s))
+                    some = np.flatnonzero(row >= np.partition(row, len(row) - most)[len(row) - most])  # with all ties at the edge
                     some = some[np.lexsort((order_of_ties[some], -row[some]))][:most]
-                    out.append(pd.DataFrame({"user": [e["id"]] * len(some), "item": ids[some], "score": row[some]}))
-                yield pd.concat(out) if out else pd.DataFrame({"user": [], "item": [], "score": []})
+                    rows.append(np.full(len(some), r))
+                    columns.append(some)
+                r, c = np.concatenate(rows), np.concatenate(columns)
+                yield pa.RecordBatch.from_arrays([users.take(pa.array(r)), ids.take(pa.array(c)), pa.array(scores[r, c])], names=["user", "item", "score"])
 
-    found = pairs.select("qb_rows", "ib_rows").mapInPandas(best, f"user {q_kind}, item {i_kind}, score double")
+    found = pairs.select("qb_rows", "ib_rows").mapInArrow(best, f"user {q_kind}, item {i_kind}, score double")
     if exclude_self:
         found = found.where(F.col("user").cast("string") != F.col("item").cast("string"))
     if spare is not None:

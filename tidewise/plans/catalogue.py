@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import content_queries, interaction_queries, model_queries
+from . import content_queries, interaction_queries, model_queries, trained_queries
 
-MODULES = (interaction_queries, model_queries, content_queries)
+MODULES = (interaction_queries, model_queries, content_queries, trained_queries)
 
 
 def queries() -> dict:
