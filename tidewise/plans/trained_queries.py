@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..models.ann import ivf, ivfpq, lsh, recall
 from ..models.factors import FactorModel
+from ..models.graph_models import FREEDOM, LightGCN
 from ..operators import features, history
 from ..operators.nearest import top_by_dot
 from .inputs import table
@@ -69,3 +70,26 @@ def ann_recall_vs_exact(spark, d):
     exact = top_by_dot(vectors.withColumnRenamed("id", "user"), vectors.withColumnRenamed("id", "item"), 10)
     rows = [recall(exact, _ann(kind, spark, d)).withColumn("backend", F.lit(name)) for name, kind in (("ivf", ivf), ("ivfpq", ivfpq), ("lsh", lsh))]
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+def _checkpointed(spark):
+    """Graph training checkpoints each epoch; a session without a folder for that gets a temporary one."""
+    import tempfile
+
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidewise-"))
+
+
+@query
+def lightgcn_recommend(spark, d):
+    _checkpointed(spark)
+    train, _ = training(spark, d)
+    return _recommended(LightGCN(factors=8, epochs=2).fit(train, train.select("item").distinct()), history.seen_pairs(train))
+
+
+@query
+def freedom_recommend(spark, d):
+    _checkpointed(spark)
+    train, _ = training(spark, d)
+    model = FREEDOM(factors=8, epochs=2).fit(train, table(spark, d, "part").select(F.col("p_partkey").alias("item")), {"embedding": _vectors(spark, d)})
+    return _recommended(model, history.seen_pairs(train))
