@@ -50,6 +50,8 @@ def load(spark: SparkSession, value: DataFrame | pd.DataFrame | str | Path, deli
 def convert(spark: SparkSession, source: str | Path, output: str | Path | None = None, *, delimiter: str | None = None, compression: str = "zstd", overwrite: bool = False) -> str:
     """Writes a table as Parquet beside the source, or at output; an existing one stays unless overwrite."""
     source = str(source)
+    if Path(source.rstrip("/")).suffix.lower() not in SUFFIXES:
+        raise ValueError(f"unknown kind of file: {source}; known suffixes are {', '.join(SUFFIXES)}")
     target = str(output or Path(source).with_suffix(".parquet"))
     if target == source or (exists(spark, target) and not overwrite):
         return target
