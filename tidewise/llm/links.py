@@ -49,20 +49,21 @@ def frequent_keys(keys: DataFrame) -> DataFrame:
 
 
 def linked(
-    keys: DataFrame, about: DataFrame, near: Callable[[str, str], Column], confirm: Callable[[DataFrame], DataFrame], quick: Callable[[str, str], Column], quick_cols: list[str]
+    keys: DataFrame, about: DataFrame, near: Callable[[str, str], Column], confirm: Callable[[DataFrame], DataFrame], quick: Callable[[str, str], Column], quick_cols: list[str], rounds: int = LEADER_ROUNDS
 ) -> tuple[DataFrame, DataFrame]:
     """(id, root) of ids with a smaller one in their group, and the confirmed links (a, b).
 
     keys: (key, id), each key held by two ids at least. about: (id, ...) what the cheap check needs. near("a", "b"):
     that check, over columns of about with the prefixes a_ and b_; it must hold for every link. quick: a weaker and
     cheaper one, over quick_cols, for all pairs that the last step looks at. confirm: from pairs (a, b) to the links.
+    rounds: with leaders, before the last step.
     """
     cols = [c for c in about.columns if c != "id"]
     held = written(about.join(keys.select("id").distinct(), "id", "left_semi"), "about")
     side = lambda p: held.select(F.col("id").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in cols])
     checked = lambda pairs: pairs.join(side("a"), "a").join(side("b"), "b").where(near("a", "b")).select("a", "b")
     open_keys, links, roots = keys.withColumn("root", F.col("id")), None, None
-    for k in range(LEADER_ROUNDS):
+    for k in range(rounds):
         by = F.xxhash64("id", F.lit(k)) if k else F.lit(0)
         first = F.min(F.struct(by.alias("by"), F.col("id").alias("a"), F.col("root").alias("a_root"))).alias("first")
         leaders = open_keys.groupBy("key").agg(first).select("key", "first.a", "first.a_root")

@@ -1,7 +1,7 @@
 """Words of Arrow text columns as 64-bit hashes, in whole numpy arrays.
 
-A batch's texts are read straight from Arrow's buffer in slices of a few MB (one long text may be a larger slice of
-its own), so memory follows the slice, not the table. Two words get equal hashes only by a 64-bit accident.
+A batch's texts are read straight from Arrow's buffer in slices that fit a processor's cache (one long text may be a
+larger slice of its own), so memory follows the slice, not the table. Two words get equal hashes only by a 64-bit accident.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -93,13 +93,19 @@ def word_spans(raw: np.ndarray, at: np.ndarray, is_word: np.ndarray) -> tuple[np
     return starts, ends, np.searchsorted(starts, at)
 
 
-def word_hashes(raw: np.ndarray, at: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A hash for each word of the texts, and for each text the number of words before it (one more than texts)."""
+def word_table(raw: np.ndarray, at: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first and end byte of every word, and for each text the number of words before it (one more than texts)."""
     starts, ends, first = word_spans(raw, at, is_word)
     up, down = _powers(len(raw) + 1)
     total = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(_VALUE[raw] * up[:-1], out=total[1:])
-    return mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64)), first
+    return mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64)), starts, ends, first
+
+
+def word_hashes(raw: np.ndarray, at: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A hash for each word of the texts, and for each text the number of words before it."""
+    hashes, _, _, first = word_table(raw, at, is_word)
+    return hashes, first
 
 
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
