@@ -109,7 +109,7 @@ def test_components(spark):
     assert roots == {**{k: 0 for k in range(1, 41)}, 101: 100, 103: 100}
 
 
-def lines_by_hand(rows, radius=3, similarity=0.8):
+def lines_by_hand(rows, similarity=0.8):
     import numpy as np
 
     from tidewise.llm.line_dedup import line_table
@@ -139,9 +139,14 @@ def lines_by_hand(rows, radius=3, similarity=0.8):
             before = now
         return before[-1]
 
+    def meet(a, b):
+        """Within three bits, and two of the four 16-bit blocks are equal."""
+        x = int(a ^ b)
+        return bin(x).count("1") <= 3 and sum((x >> at) & 0xFFFF == 0 for at in (0, 16, 32, 48)) >= 2
+
     for a in range(len(texts)):
         for b in range(a):
-            if bin(int(sim[a] ^ sim[b])).count("1") <= radius and edits(texts[a], texts[b]) <= int((1 - similarity) * max(len(texts[a]), len(texts[b])) + 1e-9):
+            if meet(sim[a], sim[b]) and edits(texts[a], texts[b]) <= int((1 - similarity) * max(len(texts[a]), len(texts[b])) + 1e-9):
                 p, q = find(a), find(b)
                 root[max(p, q)] = min(p, q)
     groups = defaultdict(list)
