@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .quality import fold
 from .store import written
-from .words import _LOWER, SPACED, mixed, text_slices, word_hashes, word_spans
+from .words import _LOWER, SPACED, mixed, text_slices, word_table
 
 TOP, MEMBERS, SUFFIXES = 512, 32, 48
 CLASSES = TOP // MEMBERS + SUFFIXES
@@ -44,8 +44,7 @@ _EMPTY = np.uint64(0)
 
 def tokens(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash and suffix class of each token, ends included, and the number of tokens before each text."""
-    words, first = word_hashes(raw, at, SPACED)
-    _, ends, _ = word_spans(raw, at, SPACED)
+    words, _, ends, first = word_table(raw, at, SPACED)
     n = len(at) - 1
     last = _LOWER[raw[ends - 1]].astype(np.int64) if len(ends) else np.zeros(0, np.int64)
     two = np.where(ends >= 2, ends - 2, 0)

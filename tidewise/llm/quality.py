@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .store import written
-from .words import SPACED, gram_hashes, text_slices, word_hashes, word_spans
+from .words import SPACED, gram_hashes, text_slices, word_table
 
 _CLASS = np.zeros(256, np.int64)
 for _k, _chars in enumerate([range(65, 91), range(97, 123), range(48, 58), b" \t", b"\n", b"!", b"$", b"%", b"&", b"*", b"#", b"|", b".", b",", b"@", b"+(", b"=\"'", b"<>{}[]/\\", range(128, 256)], 1):
@@ -49,8 +49,7 @@ def statistics(column: pa.Array) -> np.ndarray:
         n, size = hi - lo, np.diff(at).astype(float)
         text = np.repeat(np.arange(n), np.diff(at))
         kinds = np.bincount(text * _CLASSES + _CLASS[raw], minlength=n * _CLASSES).reshape(n, _CLASSES).astype(float)
-        words, first = word_hashes(raw, at, SPACED)
-        starts, ends, _ = word_spans(raw, at, SPACED)
+        words, starts, ends, first = word_table(raw, at, SPACED)
         n_words = np.diff(first).astype(float)
         owner = np.repeat(np.arange(n), np.diff(first))
         per = lambda x: np.bincount(owner, weights=x, minlength=n)
