@@ -181,6 +181,48 @@ def test_fuzzy_lines(spark):
         assert clean[i] == (t if t is None or i not in want else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in want[i]))
 
 
+def edit_distance(a, b):
+    before = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        now = [i]
+        for j, y in enumerate(b, 1):
+            now.append(min(before[j] + 1, now[-1] + 1, before[j - 1] + (x != y)))
+        before = now
+    return before[-1]
+
+
+def test_lines_with_one_changed_word_meet(spark):
+    """Plain edit similarity is all that counts: no SimHash, no blocks."""
+    rng = random.Random(8)
+    rows, alike = [], set()
+    for k in range(240):
+        base = words(rng, (3, 4, 5, 6, 7, 10, 20, 50)[k % 8])
+        copy, at = list(base), rng.randrange(len(base))
+        copy[at : at + 1] = [[f"other{k}"], [], [copy[at], "new"], [copy[at][:-1] + "z"]][k // 8 % 4]
+        base, copy = " ".join(base), " ".join(copy)
+        rows += [(2 * k, base), (2 * k + 1, copy)]
+        if edit_distance(base, copy) <= int(0.2 * max(len(base), len(copy)) + 1e-9):
+            alike.add(2 * k + 1)
+    got = {r["id"] for r in line_dedup.fuzzy_lines(frame(spark, rows), word_runs=True).collect() if r["dropped"]}
+    assert len(alike) > 150 and alike <= got
+    for i in got - alike:
+        text = rows[i][1]
+        assert any(edit_distance(text, x) <= int(0.2 * max(len(text), len(x)) + 1e-9) for j, x in rows if j != i)
+
+
+def test_simhashes_within_three_bits_share_a_key(spark):
+    rng = random.Random(2)
+    sims = []
+    for _ in range(200):
+        x = rng.getrandbits(64)
+        y = x
+        for at in rng.sample(range(64), 3):
+            y ^= 1 << at
+        sims.append([v - (1 << 64) * (v >> 63) for v in (x, y)])
+    both = spark.createDataFrame(sims, "a long, b long").select(*[line_dedup.block_keys(F.col(c), line_dedup.WIDE_BLOCKS).alias(c) for c in "ab"])
+    assert both.where(F.arrays_overlap("a", "b")).count() == 200
+
+
 def test_simhash_counts_long_lines(spark):
     import numpy as np
 

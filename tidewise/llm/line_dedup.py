@@ -8,7 +8,12 @@ most pairs one bit further apart. Pairs that meet are confirmed by edit similari
 0.8 or more. Of each
 connected group the first occurrence stays, by document id, then line number.
 
-The guarantee is the SimHash's: lines of 0.8 edit similarity whose SimHashes are further apart aren't looked at.
+A SimHash of few words moves by more bits than that when one word changes. With word_runs, as in the query, all SimHashes
+within 3 bits meet (ten keys of two of five blocks), and lines meet by their words too, whatever their SimHashes: in the
+first or the last half of their words, or, up to SHORT words, in all words but one, so lines of SHORTEST words or more that
+differ by one word (changed, added or left out) always meet; and in MINHASHES keys of two least hashes of word pairs, which
+finds most lines with several changes. Lines of 0.8 edit similarity with changes in almost every word, or with fewer words
+and further SimHashes, may still not meet. Without word_runs, the guarantee is that of the SimHash.
 
 Nulls: a null text has no lines (n_lines 0), a null id sorts last. An empty text has one line, without words. Repeated
 rows are copies: the first one's lines stay. An empty table gives an empty result. Other columns are ignored.
@@ -24,14 +29,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .links import frequent_keys, linked
+from .links import components, frequent_keys, linked
 from .store import written
-from .words import ALNUM, mixed, text_slices, word_table
+from .words import ALNUM, _powers, mixed, text_slices, word_table
 
 #: All pairs within RADIUS meet; of those further apart that meet all the same, those within ACCEPTED are looked at.
 RADIUS, ACCEPTED = 2, 3
 #: First bit and bits of each block.
 BLOCKS = [(0, 16), (16, 16), (32, 16), (48, 16)]
+#: With word_runs: all pairs within WIDE_RADIUS meet.
+WIDE_RADIUS, WIDE_BLOCKS = 3, [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
+#: Words of the shortest lines that meet by their words; up to SHORT, without each of them; from PAIRED, by word pairs.
+SHORTEST, SHORT, PAIRED, MINHASHES = 3, 5, 8, 6
 BITMAP_BITS = 1 << 25
 NARROW = 12
 _NOT_WORD = re.compile(rb"[^0-9a-z\x80-\xff]+")
@@ -67,8 +76,48 @@ def distinct_words(words: np.ndarray, line: np.ndarray, n: int) -> tuple[np.ndar
     return mixed(word[new] + np.uint64(1)), np.bincount(line[new], minlength=n)
 
 
-def line_table(raw: np.ndarray, at: np.ndarray, with_simhash: bool):
-    """Of texts: first and end byte of each line, the lines before each text, and each line's words, digests, SimHash, length."""
+def run_keys(words: np.ndarray, begin: np.ndarray, n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of lines (runs of words): the number of the line and a key, for each key by which lines meet in their words."""
+    up, down = _powers(len(words) + 1)
+    total = np.concatenate([[np.uint64(0)], np.cumsum(words * up[: len(words)])])
+    lines, keys = [], []
+
+    def run(a, b):
+        return mixed((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64))
+
+    def add(line, key, salt):
+        lines.append(line)
+        keys.append(mixed(key + np.uint64(salt)))
+
+    end = begin + n_words
+    long = np.flatnonzero(n_words >= SHORT)
+    for some, half in ((long, n_words // 2), (long[n_words[long] % 2 == 1], n_words // 2 + 1)):
+        add(some, run(begin[some], begin[some] + half[some]), 1)
+        add(some, run(end[some] - half[some], end[some]), 2)
+    for n in range(SHORTEST - 1, SHORT + 1):
+        some = np.flatnonzero(n_words == n)
+        add(some, run(begin[some], end[some]), 3)  # meets lines with one word more
+        if n >= SHORTEST:
+            for k in range(n):
+                left = [begin[some] + x for x in range(n) if x != k]
+                rest = sum(words[at] * up[x] for x, at in enumerate(left)) if len(some) else np.zeros(0, np.uint64)
+                add(some, mixed(rest + np.uint64(n - 1)), 3)
+    some = np.flatnonzero(n_words >= PAIRED)
+    if len(some):
+        pair = mixed(words[:-1] + words[1:] * np.uint64(0xA0761D6478BD642F))
+        pair = np.concatenate([pair, np.zeros(1, np.uint64)])
+        edges = np.stack([begin[some], end[some] - 1], 1).ravel()  # every other run is what lies between lines
+        for k in range(MINHASHES):
+            one, two = (np.minimum.reduceat(mixed(pair ^ np.uint64(0x9E3779B97F4A7C15 * (2 * k + j + 1) % (1 << 64))), edges)[::2] for j in (0, 1))
+            add(some, one + mixed(two), 16 + k)
+    return np.concatenate(lines), np.concatenate(keys)
+
+
+def line_table(raw: np.ndarray, at: np.ndarray, with_simhash: bool, with_runs: bool = False):
+    """Of texts: first and end byte of each line, the lines before each text, and each line's words, digests, SimHash, length.
+
+    With with_runs also the run keys: line and key.
+    """
     feeds = np.flatnonzero(raw == 10)
     n = len(at) - 1
     owner_of_feed = np.searchsorted(at, feeds, "right") - 1
@@ -97,34 +146,41 @@ def line_table(raw: np.ndarray, at: np.ndarray, with_simhash: bool):
         if with_simhash:
             distinct, sizes = distinct_words(words, inside, len(full))
             simhash[full] = simhashes(distinct, np.cumsum(sizes) - sizes, sizes)
+    if with_runs:
+        line, key = run_keys(words, begin, n_words[full])
+        return starts, ends, before, n_words, digest, simhash, chars, (full[line], key)
     return starts, ends, before, n_words, digest, simhash, chars
 
 
-_LINE = pa.struct([("line", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("sim", pa.int64()), ("n", pa.int64())])
+_LINE = pa.struct([("line", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("sim", pa.int64()), ("n", pa.int64()), ("runs", pa.list_(pa.int64()))])
 
 
-def _lines(batches):
+def _lines(batches, word_runs: bool):
     for batch in batches:
-        texts, totals, ends, parts, done = batch.column(1), [], [np.zeros(1, np.int64)], [], 0
+        texts, totals, ends, parts, runs, done = batch.column(1), [], [np.zeros(1, np.int64)], [], [], 0
         for lo, hi, raw, at in text_slices(texts):
-            _, _, before, n_words, digest, simhash, chars = line_table(raw, at, True)
+            _, _, before, n_words, digest, simhash, chars, *more = line_table(raw, at, True, word_runs)
             some = np.flatnonzero(n_words)
             number = np.arange(before[-1]) - np.repeat(before[:-1], np.diff(before))
+            line, key = more[0] if word_runs else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+            runs.append((np.bincount(np.searchsorted(some, line), minlength=len(some)), key[np.argsort(line, kind="stable")]))
             parts.append((number[some], digest[0, some], digest[1, some], simhash[some], chars[some]))
             ends.append(done + np.searchsorted(some, before[1:]))
             done += len(some)
             totals.append(np.diff(before))
         columns = [np.concatenate(x) for x in zip(*parts)] if parts else [np.zeros(0, np.int64)] * 5
-        lines = pa.StructArray.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c.view(np.int64)) for c in columns[1:])], fields=list(_LINE))
+        counts, keys = (np.concatenate(x) for x in zip(*runs)) if runs else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        run_lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(keys.view(np.int64)))
+        lines = pa.StructArray.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c.view(np.int64)) for c in columns[1:]), run_lists], fields=list(_LINE))
         total = np.concatenate(totals) if totals else np.zeros(0, np.int64)
         total[np.asarray(texts.is_null())] = 0
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.ListArray.from_arrays(pa.array(np.concatenate(ends).astype(np.int32)), lines)], names=["id", "n_lines", "lines"])
 
 
-def block_keys(sim: Column) -> Column:
-    """An array of six keys: two blocks' bits each, with the pair's number."""
-    part = [F.shiftrightunsigned(sim, at).bitwiseAND(F.lit((1 << bits) - 1)) for at, bits in BLOCKS]
-    return F.array(*[(F.lit(k).cast("long") * (1 << 32) + part[a] * (1 << 16) + part[b]).cast("long") for k, (a, b) in enumerate(combinations(range(len(BLOCKS)), 2))])
+def block_keys(sim: Column, blocks: list[tuple[int, int]] = BLOCKS) -> Column:
+    """An array of keys: two blocks' bits each, with the pair's number."""
+    part = [F.shiftrightunsigned(sim, at).bitwiseAND(F.lit((1 << bits) - 1)) for at, bits in blocks]
+    return F.array(*[(F.lit(k).cast("long") * (1 << 32) + part[a] * (1 << 16) + part[b]).cast("long") for k, (a, b) in enumerate(combinations(range(len(blocks)), 2))])
 
 
 def _texts(batches, bitmap):
@@ -142,21 +198,23 @@ def _texts(batches, bitmap):
             yield pa.RecordBatch.from_arrays([pa.array(digest[0][some].view(np.int64)), pa.array(found, pa.string())], names=["id", "text"])
 
 
-def fuzzy_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
+def fuzzy_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, word_runs: bool = False) -> DataFrame:
     """One row for each row of docs: id, n_lines, dropped (array of line numbers from 0, rising)."""
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
-    rows = source.mapInArrow(_lines, f"id {kind}, n_lines long, lines array<struct<line: int, h1: long, h2: long, sim: long, n: long>>")
+    rows = source.mapInArrow(lambda it: _lines(it, word_runs), f"id {kind}, n_lines long, lines array<struct<line: int, h1: long, h2: long, sim: long, n: long, runs: array<long>>>")
     rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "lines")
     lines = rows.select("row", "id", F.explode("lines").alias("l")).select("row", "id", "l.*")
     place = F.struct(F.col("id").isNull().alias("none"), "id", "row", "line")
-    nodes = written(lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.min("sim").alias("sim"), F.min("n").alias("n"), F.count(F.lit(1)).alias("times")), "nodes")
-    keys = frequent_keys(nodes.select(F.explode(block_keys(F.col("sim"))).alias("key"), F.col("h1").alias("id")))
+    nodes = written(lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.min("sim").alias("sim"), F.min("n").alias("n"), F.min("runs").alias("runs"), F.count(F.lit(1)).alias("times")), "nodes")
+    keys = frequent_keys(nodes.select(F.explode(block_keys(F.col("sim"), WIDE_BLOCKS if word_runs else BLOCKS)).alias("key"), F.col("h1").alias("id")))
+    runs = frequent_keys(nodes.select(F.explode(F.array_distinct("runs")).alias("key"), F.col("h1").alias("id"))) if word_runs else None
+    sharing = keys.select("id").unionByName(runs.select("id")) if word_runs else keys
 
     # the texts of all lines that share a key, read in one pass; the bitmap has a fixed size
     slot = F.col("id").bitwiseAND(F.lit(BITMAP_BITS - 1))
-    filled = keys.groupBy(F.shiftright(slot, 6).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(id & 63 as int)))").alias("bits")).toArrow()  # BITMAP_BITS / 64 rows at most
+    filled = sharing.groupBy(F.shiftright(slot, 6).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(id & 63 as int)))").alias("bits")).toArrow()  # BITMAP_BITS / 64 rows at most
     bitmap = np.zeros(BITMAP_BITS // 64, np.int64)
     bitmap[filled.column("word").to_numpy()] = filled.column("bits").to_numpy()
     sent = spark.sparkContext.broadcast(bitmap.tobytes())
@@ -169,11 +227,17 @@ def fuzzy_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         # -1 beyond the bound; most lines that are this near differ by a few characters, which a narrow band shows
         return both.where((F.expr(f"levenshtein(a_text, b_text, least(most, {NARROW}))") >= 0) | (F.expr("levenshtein(a_text, b_text, most)") >= 0)).select("a", "b")
 
+    def as_long(a: str, b: str) -> Column:
+        return F.least(f"{a}_n", f"{b}_n") >= similarity * F.greatest(f"{a}_n", f"{b}_n") - 1e-9
+
     def near(a: str, b: str) -> Column:
-        apart = F.bit_count(F.col(f"{a}_sim").bitwiseXOR(F.col(f"{b}_sim"))) <= ACCEPTED
-        return apart & (F.least(f"{a}_n", f"{b}_n") >= similarity * F.greatest(f"{a}_n", f"{b}_n"))
+        return (F.bit_count(F.col(f"{a}_sim").bitwiseXOR(F.col(f"{b}_sim"))) <= (WIDE_RADIUS if word_runs else ACCEPTED)) & as_long(a, b)
 
-    roots, _ = linked(keys, nodes.select(F.col("h1").alias("id"), "sim", "n"), near, confirm, near, ["sim", "n"], rounds=1)
+    about = nodes.select(F.col("h1").alias("id"), "sim", "n")
+    roots, links = linked(keys, about, near, confirm, near, ["sim", "n"], rounds=1)
+    if word_runs:
+        _, more = linked(runs, about.select("id", "n"), as_long, confirm, as_long, ["n"], rounds=1)
+        roots = components(links.unionByName(more))
     grouped = nodes.join(roots.withColumnRenamed("id", "h1"), "h1", "left").withColumn("root", F.coalesce("root", "h1"))
     keepers = grouped.groupBy("root").agg(F.min("first").alias("keep"), F.sum("times").alias("in_group")).where("in_group > 1").select("root", "keep")
     repeated = grouped.join(keepers, "root").select("h1", "h2", "keep")
@@ -190,7 +254,7 @@ def without_lines(docs: DataFrame, found: DataFrame, *, id_col: str = "doc_id",
 
 
 def op4_line_dedup(spark, sf_dir: str) -> DataFrame:
-    found = fuzzy_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = fuzzy_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"), word_runs=True)
     listed = F.array_join(F.transform("dropped", lambda k: k.cast("string")), ",")
     return found.select(F.col("id").alias("doc_id"), "n_lines", (F.col("n_lines") - F.size("dropped")).alias("n_kept"), listed.alias("dropped"))
 
