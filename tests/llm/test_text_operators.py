@@ -51,6 +51,15 @@ def test_field_finds_what_patterns_miss_and_leaves_other_numbers():
     assert hit >= 0.97 * total and wrong <= 0.03 * total
 
 
+def test_written_out_addresses_without_digits(spark):
+    """Every form, in a text that has no digit, no "@" and, for some, no "dot"; with long hosts and in any case."""
+    found = ["john [at] example.com", "jane (at) site.org", "john [AT] example.com", "jane AT example DOT com", "jane at averyveryverylonghostname dot com",
+             "john [at] averyveryveryverylonghostname.example.com", "jane (at) mail (dot) example (dot) org", "jane [ at ] mail [ dot ] example [ dot ] com", "mary.of.the.long.long.name.here.and.there at example dot net"]
+    rows = [(k, f"please write to {x} and wait") for k, x in enumerate(found)] + [(90, "look at the dots"), (91, "AT HOME"), (92, None)]
+    got = {r["id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in pii.find_pii(frame(spark, rows)).collect()}
+    assert got == {**{k: [("email", 16, 16 + len(x))] for k, x in enumerate(found)}, 90: [], 91: [], 92: []}
+
+
 def test_find_pii(spark):
     texts = ["mail bob [at] site [dot] com or bob@site.com", "call (826) 555-4081", "nothing 1999-01-02", "ü 10.0.0.1 ok"]
     rows = [*enumerate(texts), *ODD]

@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 from .words import text_slices
 
 KINDS = ("email", "ip", "card", "phone")
+#: Of a numeric segment. Addresses may have more: three-label hosts that are written out with blanks and brackets have 30.
 MAX_TOKENS = 16
-#: Characters on both sides of a trigger that belong to its region.
+ADDRESS_TOKENS = 48
+#: Characters on both sides of a trigger that belong to its region, which reaches on to the end of an address there.
 REACH = 28
 
 # Fixed patterns.
@@ -82,11 +84,14 @@ def pattern_spans(text: str) -> list[tuple[str, int, int]]:
 
 # The field.
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|\s+|.", re.S)
-_TRIGGER = re.compile(r"[0-9@]+|[\[(]\s?at\s?[\])]|\bat\b(?=.{1,20}\bdot\b)")
+_TRIGGER = re.compile(r"[0-9@]+|[\[(]\s?at\s?[\])]|(?<=\s)at(?=\s[A-Za-z0-9-]+\sdot\s)|\bat\b(?=.{1,20}\bdot\b)", re.I)
+#: What a text without digits and "@" must have to be looked at: a trigger, seen without its details.
+_MAY_TRIGGER = r"(?i)[\[(]\s?at\s?[\])]|\bat\b"
 _AT = re.compile(r"@|[\[(]\s?at\s?[\])]|\sat\s", re.I)
 _ADDRESS = re.compile(
     r"[A-Za-z0-9._%+-]+(\s?(@|[\[(]\s?at\s?[\])])\s?[A-Za-z0-9-]+((\.|\s?[\[(]\s?dot\s?[\])]\s?|\sdot\s)[A-Za-z0-9-]+)+|\sat\s[A-Za-z0-9-]+(\sdot\s[A-Za-z0-9-]+)+)", re.I
 )
+_HOST = re.compile(r"\s?[A-Za-z0-9-]+((\.|\s?[\[(]\s?dot\s?[\])]\s?|\sdot\s)[A-Za-z0-9-]+)+", re.I)
 _WRITTEN = re.compile(r"[\[(]\s?(at|dot)\s?[\])]|\bat\b.*\bdot\b", re.I | re.S)
 _OCTETS = re.compile(r"([0-9]{1,3})[.]([0-9]{1,3})[.]([0-9]{1,3})[.]([0-9]{1,3})")
 _NORTH = re.compile(r"(\+?1[ .-]?)?(\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-][0-9]{4}")
@@ -103,6 +108,13 @@ def regions(text: str, triggers) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for m in triggers:
         lo, hi = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
+        if not m[0].isdigit():
+            # a local part longer than REACH, and a host to its last label
+            first = m.start() - (m.start() > 0 and text[m.start() - 1].isspace())
+            while first > 0 and text[first - 1] in _LOCAL:
+                first -= 1
+            tail = _HOST.match(text, m.end())
+            lo, hi = min(lo, first), max(hi, tail.end() if tail else 0)
         if out and lo <= out[-1][1]:
             out[-1][1] = max(out[-1][1], hi)
         else:
@@ -120,13 +132,13 @@ def candidates(text: str, lo: int, hi: int) -> tuple[list[int], list[tuple[int,
         a = text[cuts[i]]
         if not (a.isascii() and (a.isalnum() or a in "+(")):
             continue
-        for j in range(i + 1, min(n, i + MAX_TOKENS) + 1):
+        for j in range(i + 1, min(n, i + (ADDRESS_TOKENS if a not in "+(" and _AT.search(text, cuts[i], cuts[min(n, i + ADDRESS_TOKENS)]) else MAX_TOKENS)) + 1):
             z = text[cuts[j] - 1]
             if not (z.isascii() and z.isalnum()):
                 continue
             some = int(digits[j] - digits[i])
             s = text[cuts[i] : cuts[j]]
-            numeric = 4 <= some <= 24 and not z.isalpha() and _NUMERIC.fullmatch(s)
+            numeric = j - i <= MAX_TOKENS and 4 <= some <= 24 and not z.isalpha() and _NUMERIC.fullmatch(s)
             if numeric or (_AT.search(s) and a not in "+(" and _ADDRESS.fullmatch(s)):
                 out.append((i, j))
     return cuts, out
@@ -319,7 +331,7 @@ def _find(batches, field: Field):
             mark = ((raw >= 48) & (raw <= 57)) | (raw == 64)
             total = np.concatenate([[0], np.cumsum(mark)])
             triggered[lo:hi] = total[at[1:]] > total[at[:-1]]
-        written_out = np.asarray(pa.compute.fill_null(pa.compute.match_substring(texts, "dot"), False))
+        written_out = np.asarray(pa.compute.fill_null(pa.compute.match_substring_regex(texts, _MAY_TRIGGER), False))
         base, every = [], []
         for k in range(batch.num_rows):
             if not (triggered[k] or written_out[k]):
