@@ -234,9 +234,9 @@ def fuzzy_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         return (F.bit_count(F.col(f"{a}_sim").bitwiseXOR(F.col(f"{b}_sim"))) <= (WIDE_RADIUS if word_runs else ACCEPTED)) & as_long(a, b)
 
     about = nodes.select(F.col("h1").alias("id"), "sim", "n")
-    roots, links = linked(keys, about, near, confirm, near, ["sim", "n"], rounds=1)
+    roots, links = linked(keys, about, near, confirm, rounds=1)
     if word_runs:
-        _, more = linked(runs, about.select("id", "n"), as_long, confirm, as_long, ["n"], rounds=1)
+        _, more = linked(runs, about.select("id", "n"), as_long, confirm, rounds=1)
         roots = components(links.unionByName(more))
     grouped = nodes.join(roots.withColumnRenamed("id", "h1"), "h1", "left").withColumn("root", F.coalesce("root", "h1"))
     keepers = grouped.groupBy("root").agg(F.min("first").alias("keep"), F.sum("times").alias("in_group")).where("in_group > 1").select("root", "keep")

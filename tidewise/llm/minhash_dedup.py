@@ -30,7 +30,7 @@ CHUNKS, SLOTS = 12, 5
 LONGS = CHUNKS * SLOTS // 4
 #: Two signatures within this distance have a chunk with at most one error.
 RADIUS = 2 * CHUNKS - 1
-PARITY, FOLDS = 1024, 4
+PARITY = 1024
 _FACTORS = mixed(np.arange(1, CHUNKS * SLOTS + 1, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25)) | np.uint64(1)
 
 
@@ -85,13 +85,13 @@ def _chunk_keys(batches):
 def distance_at_most(a: str, b: str, radius: int = RADIUS) -> Column:
     """Of signatures: a lane of 14 bits in 16 that differs carries into its bit 14, and the carries are counted."""
     carry, ones = F.lit(0x4000400040004000), F.lit(0x3FFF3FFF3FFF3FFF)
-    lanes = lambda k: F.bit_count((F.col(f"{a}_sig")[k].bitwiseXOR(F.col(f"{b}_sig")[k]) + ones).bitwiseAND(carry))
+    lanes = lambda k: F.bit_count((F.col(f"{a}_s{k}").bitwiseXOR(F.col(f"{b}_s{k}")) + ones).bitwiseAND(carry))
     return reduce(lambda p, q: p + q, (lanes(k) for k in range(LONGS))) <= radius
 
 
 def differing(a: str, b: str) -> Column:
     """The parity bits in which two sets differ, never more than the shingles in which they do (Sandes et al. 2017)."""
-    return reduce(lambda p, q: p + q, (F.bit_count(F.col(f"{a}_parity")[k].bitwiseXOR(F.col(f"{b}_parity")[k])) for k in range(PARITY // 64)))
+    return reduce(lambda p, q: p + q, (F.bit_count(F.col(f"{a}_p{k}").bitwiseXOR(F.col(f"{b}_p{k}"))) for k in range(PARITY // 64)))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -133,21 +133,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     share = percent / 100
     radius = max(RADIUS, int(np.ceil(len(_FACTORS) * (1 - share) + 6 * np.sqrt(len(_FACTORS) * share * (1 - share)))))
 
-    def may_link(a: str, b: str, bits: Column) -> Column:
+    def near(a: str, b: str) -> Column:
         # at the threshold p, two sets differ in (1 - p) / (1 + p) of their sizes' sum
         sizes = F.least(f"{a}_n", f"{b}_n") * 100 >= F.greatest(f"{a}_n", f"{b}_n") * percent
-        return sizes & ((100 + percent) * bits <= (100 - percent) * (F.col(f"{a}_n") + F.col(f"{b}_n")))
-
-    def near(a: str, b: str) -> Column:
-        return may_link(a, b, differing(a, b)) & distance_at_most(a, b, radius)
-
-    def quick(a: str, b: str) -> Column:
-        return may_link(a, b, reduce(lambda p, q: p + q, (F.bit_count(F.col(f"{a}_q{k}").bitwiseXOR(F.col(f"{b}_q{k}"))) for k in range(FOLDS))))
+        few = (100 + percent) * differing(a, b) <= (100 - percent) * (F.col(f"{a}_n") + F.col(f"{b}_n"))
+        return sizes & few & distance_at_most(a, b, radius)
 
-    # words of the parity bits folded onto each other are the parity bits of a shorter map
-    folded = [reduce(lambda p, q: p.bitwiseXOR(q), (F.col("parity")[j] for j in range(k, PARITY // 64, FOLDS))).alias(f"q{k}") for k in range(FOLDS)]
-    about = nodes.select("id", "n", "sig", "parity", *folded)
-    roots, _ = linked(keys, about, near, confirm, quick, ["n", *(f"q{k}" for k in range(FOLDS))])
+    flat = [F.col("sig")[k].alias(f"s{k}") for k in range(LONGS)] + [F.col("parity")[k].alias(f"p{k}") for k in range(PARITY // 64)]
+    roots, _ = linked(keys, nodes.select("id", "n", *flat), near, confirm)
     node = nodes.select("d1", "d2", F.col("id").alias("node"))
     joined = all_rows.select("id", "n", "d1", "d2").join(node, ["d1", "d2"], "left").join(roots.withColumnRenamed("id", "node"), "node", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("root", "node", "id"))
