@@ -109,11 +109,27 @@ def test_components(spark):
     assert roots == {**{k: 0 for k in range(1, 41)}, 101: 100, 103: 100}
 
 
-def lines_by_hand(rows, similarity=0.8):
+def similar_lines(spark, texts, similarity=0.8):
+    """Pairs of texts by edit distance, all with all: shared trigrams only rule out what no edits could bring about."""
     import numpy as np
 
-    from tidewise.llm.line_dedup import line_table
+    grams = np.zeros((len(texts), 4096), np.float32)
+    for k, t in enumerate(texts):
+        for g in zip(t, t[1:], t[2:]):
+            grams[k, hash(g) % 4096] += 1
+    size = np.array([len(t) for t in texts])
+    pairs = []
+    for a in range(len(texts)):
+        longer = np.maximum(size[a], size[:a])
+        most = np.floor((1 - similarity) * longer + 1e-9)
+        shared = np.minimum(grams[a], grams[:a]).sum(1)  # an edit changes three trigrams at most
+        pairs += [(a, int(b)) for b in np.flatnonzero((np.abs(size[a] - size[:a]) <= most) & (shared >= longer - 2 - 3 * most))]
+    table = spark.createDataFrame([(a, b, texts[a], texts[b], int((1 - similarity) * max(size[a], size[b]) + 1e-9)) for a, b in pairs], "a int, b int, x string, y string, most int")
+    return [tuple(r) for r in table.where(F.levenshtein("x", "y") <= F.col("most")).select("a", "b").collect()]
 
+
+def lines_by_hand(spark, rows, similarity=0.8):
+    """The lines to drop of each document, and those of them that aren't exact repeats."""
     first = defaultdict(list)
     for i, t in sorted((r for r in rows if r[1] is not None), key=lambda r: r[0]):
         for k, line in enumerate(t.split("\n")):
@@ -121,8 +137,6 @@ def lines_by_hand(rows, similarity=0.8):
             if norm:
                 first[norm].append((i, k))
     texts = list(first)
-    raw = np.frombuffer("\n".join(texts).encode(), np.uint8)
-    sim = line_table(raw, np.array([0, len(raw)]), True)[5]
     root = list(range(len(texts)))
 
     def find(x):
@@ -130,38 +144,23 @@ def lines_by_hand(rows, similarity=0.8):
             x = root[x]
         return x
 
-    def edits(a, b):
-        before = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            now = [i]
-            for j, y in enumerate(b, 1):
-                now.append(min(before[j] + 1, now[-1] + 1, before[j - 1] + (x != y)))
-            before = now
-        return before[-1]
-
-    def meet(a, b):
-        """Within three bits, and two of the four 16-bit blocks are equal."""
-        x = int(a ^ b)
-        return bin(x).count("1") <= 3 and sum((x >> at) & 0xFFFF == 0 for at in (0, 16, 32, 48)) >= 2
-
-    for a in range(len(texts)):
-        for b in range(a):
-            if meet(sim[a], sim[b]) and edits(texts[a], texts[b]) <= int((1 - similarity) * max(len(texts[a]), len(texts[b])) + 1e-9):
-                p, q = find(a), find(b)
-                root[max(p, q)] = min(p, q)
+    for a, b in similar_lines(spark, texts, similarity):
+        p, q = find(a), find(b)
+        root[max(p, q)] = min(p, q)
     groups = defaultdict(list)
     for k, t in enumerate(texts):
-        groups[find(k)] += first[t]
-    out = defaultdict(list)
-    for places in groups.values():
-        for i, k in sorted(places)[1:]:
+        groups[find(k)].append(t)
+    out, fuzzy = defaultdict(list), set()
+    for members in groups.values():
+        for i, k in sorted(x for t in members for x in first[t])[1:]:
             out[i].append(k)
-    return {i: sorted(v) for i, v in out.items()}
+        fuzzy |= set(sorted(min(first[t]) for t in members)[1:])
+    return {i: sorted(v) for i, v in out.items()}, fuzzy
 
 
 def test_fuzzy_lines(spark):
     rng = random.Random(5)
-    pool = [" ".join(words(rng, rng.choice((1, 6, 60, 300)))) for _ in range(30)]
+    pool = [" ".join(words(rng, rng.choice((3, 6, 60, 300)))) for _ in range(30)]
     rows = []
     for k in range(40):
         lines = [rng.choice(pool) for _ in range(rng.randint(1, 5))]
@@ -173,7 +172,8 @@ def test_fuzzy_lines(spark):
     rows += [(50, None), (51, ""), (52, "\n\n!!\n"), (53, pool[0] + "\n" + pool[0].title() + ".")]
     found = line_dedup.fuzzy_lines(frame(spark, rows))
     got = {r["id"]: r for r in found.collect()}
-    want = lines_by_hand(rows)
+    want, fuzzy = lines_by_hand(spark, rows)
+    assert len(fuzzy) > 10
     assert {i: list(r["dropped"]) for i, r in got.items() if r["dropped"]} == want
     assert {i: r["n_lines"] for i, r in got.items()} == {i: 0 if t is None else t.count("\n") + 1 for i, t in rows}
     clean = {r["doc_id"]: r["text"] for r in line_dedup.without_lines(frame(spark, rows), found).collect()}
@@ -203,24 +203,48 @@ def test_lines_with_one_changed_word_meet(spark):
         rows += [(2 * k, base), (2 * k + 1, copy)]
         if edit_distance(base, copy) <= int(0.2 * max(len(base), len(copy)) + 1e-9):
             alike.add(2 * k + 1)
-    got = {r["id"] for r in line_dedup.fuzzy_lines(frame(spark, rows), word_runs=True).collect() if r["dropped"]}
+    got = {r["id"] for r in line_dedup.fuzzy_lines(frame(spark, rows)).collect() if r["dropped"]}
     assert len(alike) > 150 and alike <= got
     for i in got - alike:
         text = rows[i][1]
         assert any(edit_distance(text, x) <= int(0.2 * max(len(text), len(x)) + 1e-9) for j, x in rows if j != i)
 
 
-def test_simhashes_within_three_bits_share_a_key(spark):
-    rng = random.Random(2)
-    sims = []
-    for _ in range(200):
-        x = rng.getrandbits(64)
-        y = x
-        for at in rng.sample(range(64), 3):
-            y ^= 1 << at
-        sims.append([v - (1 << 64) * (v >> 63) for v in (x, y)])
-    both = spark.createDataFrame(sims, "a long, b long").select(*[line_dedup.block_keys(F.col(c), line_dedup.WIDE_BLOCKS).alias(c) for c in "ab"])
-    assert both.where(F.arrays_overlap("a", "b")).count() == 200
+def test_recall_of_lines_against_all_pairs(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    want, fuzzy = lines_by_hand(spark, rows)
+    got = {(r["id"], k) for r in line_dedup.fuzzy_lines(docs).collect() for k in r["dropped"]}
+    every = {(i, k) for i, v in want.items() for k in v}
+    assert len(fuzzy) > 30 and got <= every
+    assert every - got <= fuzzy and len(fuzzy & got) >= 0.9 * len(fuzzy)
+
+
+def test_lines_that_differ_in_three_words_share_a_block():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for n in (24, 60, 700):
+        one = rng.integers(0, 2**63, n).astype(np.uint64)
+        two = rng.permutation(np.concatenate([one[1:], rng.integers(0, 2**63, 2).astype(np.uint64)]))  # one word less, two more
+        sims, sizes = line_dedup.block_simhashes(np.concatenate([one, two]), np.repeat([0, 1], [n, n + 1]), 2)
+        assert (sims[0] == sims[1]).any() and sizes.sum() == 2 * n + 1
+
+
+def test_keys_that_several_tasks_hold(spark, monkeypatch):
+    import numpy as np
+
+    from tidewise.llm import links
+
+    monkeypatch.setattr(links, "GATHER", 50)  # at the driver, which makes the function that tasks get
+    rng = random.Random(4)
+    rows = [(rng.choice((0, 0, rng.randrange(400))), k) for k in range(600)] + [(7, 5), (7, 5), (10**6, 3), (10**6, 3)]
+    held = spark.createDataFrame(rows, "key long, id long").repartition(5)
+    got = [tuple(r) for r in links.shared_keys(held, lambda x: (np.asarray(x.column(0)).view(np.uint64), np.asarray(x.column(1))), 600).collect()]
+    ids = defaultdict(set)
+    for k, i in rows:
+        ids[k].add(i)
+    assert sorted(got) == sorted({(k, i) for k, i in rows if len(ids[k]) > 1})
 
 
 def test_simhash_counts_long_lines(spark):

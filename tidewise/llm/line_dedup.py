@@ -2,18 +2,20 @@
 
 A line is what stands between line feeds; normalised, it is its lower-cased words (letters, digits, all beyond ASCII)
 with one space between. Lines without words stay. Equal normalised lines are one node (a 128-bit digest), so copies
-never meet as pairs. A node's SimHash has 64 bits, by the majority of its different words' hashes. Two SimHashes at most RADIUS
-bits apart agree on at least two of four blocks, so every such pair meets in one of six keys of two blocks each, and so do
-most pairs one bit further apart. Pairs that meet are confirmed by edit similarity, 1 - distance / longer length, of
-0.8 or more. Of each
-connected group the first occurrence stays, by document id, then line number.
-
-A SimHash of few words moves by more bits than that when one word changes. With word_runs, as in the query, all SimHashes
-within 3 bits meet (ten keys of two of five blocks), and lines meet by their words too, whatever their SimHashes: in the
-first or the last half of their words, or, up to SHORT words, in all words but one, so lines of SHORTEST words or more that
-differ by one word (changed, added or left out) always meet; and in MINHASHES keys of two least hashes of word pairs, which
-finds most lines with several changes. Lines of 0.8 edit similarity with changes in almost every word, or with fewer words
-and further SimHashes, may still not meet. Without word_runs, the guarantee is that of the SimHash.
+never meet as pairs.
+
+A line's SimHash has four blocks of 48 bits; each different word of the line votes in one block, which its hash picks. So
+if the word sets of two lines differ in three words at most, one block at least is the same, and lines meet in equal
+blocks (of BLOCK_WORDS words or more, as a block of one frequent word would be everyone's). A block has 48 bits so that
+unrelated lines don't meet by accident in large tables. What this radius misses meets by runs of words: lines of up to
+SHORT words in all words but one, those of less than HALVED words in their first or last half (so lines of SHORTEST words
+or more that differ by one word always meet), and longer ones in their LEAST least-hashed runs of WIDTH words. Pairs that
+meet are confirmed by edit similarity, 1 - distance / longer length, of 0.8 or more. Of each connected group the first
+occurrence stays, by document id, then line number.
+
+Recall, against edit distances of all pairs, is in the README and tested. Not sure to meet: lines of one or two words, and
+lines with changes in almost every word. Pairs of lines of FAR_WORDS words or more whose SimHashes are more than FAR
+bits of 192 apart (unrelated lines: 96) are not looked at.
 
 Nulls: a null text has no lines (n_lines 0), a null id sorts last. An empty text has one line, without words. Repeated
 rows are copies: the first one's lines stay. An empty table gives an empty result. Other columns are ignored.
@@ -22,25 +24,23 @@ rows are copies: the first one's lines stay. An empty table gives an empty resul
 from __future__ import annotations
 
 import re
-from itertools import combinations
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .links import components, frequent_keys, linked
-from .store import written
-from .words import ALNUM, _powers, mixed, text_slices, word_table
-
-#: All pairs within RADIUS meet; of those further apart that meet all the same, those within ACCEPTED are looked at.
-RADIUS, ACCEPTED = 2, 3
-#: First bit and bits of each block.
-BLOCKS = [(0, 16), (16, 16), (32, 16), (48, 16)]
-#: With word_runs: all pairs within WIDE_RADIUS meet.
-WIDE_RADIUS, WIDE_BLOCKS = 3, [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
-#: Words of the shortest lines that meet by their words; up to SHORT, without each of them; from PAIRED, by word pairs.
-SHORTEST, SHORT, PAIRED, MINHASHES = 3, 5, 8, 6
+from .links import linked, shared_keys
+from .store import BUCKETS, written
+from .words import ALNUM, _powers, gram_hashes, mixed, text_slices, word_table
+
+BLOCKS, BLOCK_BYTES, BLOCK_WORDS = 4, 6, 3
+FAR, FAR_WORDS = 80, 8
+#: Words of the shortest lines that meet by their words; up to SHORT, without each of them; below HALVED, by halves.
+SHORTEST, SHORT, HALVED, WIDTH, LEAST = 3, 5, 16, 4, 4
+#: Keys of a line, about: what a bucket of the key join is sized by.
+KEYS_PER_LINE = 8
 BITMAP_BITS = 1 << 25
 NARROW = 12
 _NOT_WORD = re.compile(rb"[^0-9a-z\x80-\xff]+")
@@ -50,21 +50,38 @@ _NOT_WORD = re.compile(rb"[^0-9a-z\x80-\xff]+")
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
 
 
-def simhashes(words: np.ndarray, begin: np.ndarray, n_words: np.ndarray) -> np.ndarray:
-    """Of runs of words that stand side by side: each bit by the majority of the run's words."""
+def simhashes(words: np.ndarray, begin: np.ndarray, n_words: np.ndarray, n_bytes: int = 8) -> np.ndarray:
+    """Of runs of words that stand side by side: each of 8 * n_bytes bits by the majority of the run's words."""
     pieces = -(-n_words // 255)
     first_piece = np.concatenate([[0], np.cumsum(pieces)[:-1]])
     nth = np.arange(pieces.sum()) - np.repeat(first_piece, pieces)
     starts = np.repeat(begin, pieces) + 255 * nth
     by_byte = words.view(np.uint8).reshape(-1, 8)
-    ones = np.stack([np.add.reduceat(_LANES[by_byte[:, k]], starts).view(np.uint8).reshape(-1, 8) for k in range(8)], 1).reshape(len(starts), 64)
+    ones = np.stack([np.add.reduceat(_LANES[by_byte[:, k]], starts).view(np.uint8).reshape(-1, 8) for k in range(n_bytes)], 1).reshape(len(starts), 8 * n_bytes)
+    half = n_words // 2
     if len(starts) > len(begin):
         ones = np.add.reduceat(ones, first_piece, axis=0, dtype=np.int64)
-    return np.packbits(2 * ones.astype(np.int64) > n_words[:, None], axis=1).view(np.uint64).ravel()
+    else:
+        half = half.astype(np.uint8)
+    out = np.zeros((len(begin), 8), np.uint8)
+    out[:, :n_bytes] = np.packbits(ones > half[:, None], axis=1)
+    return out.view(np.uint64).ravel()
+
+
+def block_simhashes(words: np.ndarray, line: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of n lines: each block's bits (0 where no word votes) and the number of words that vote in it."""
+    word, line = distinct_words(words, line, n)
+    place = line * BLOCKS + (word >> np.uint64(38)).astype(np.int64)  # rises, as the words of a line do
+    sizes = np.bincount(place, minlength=n * BLOCKS)
+    full = np.flatnonzero(sizes)
+    sims = np.zeros(n * BLOCKS, np.uint64)
+    if len(full):
+        sims[full] = simhashes(mixed(word + np.uint64(1)), (np.cumsum(sizes) - sizes)[full], sizes[full], BLOCK_BYTES)
+    return sims.reshape(n, BLOCKS), sizes.reshape(n, BLOCKS)
 
 
 def distinct_words(words: np.ndarray, line: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each line's different words, as new hashes, and how many they are. Frequent words would else rule a SimHash."""
+    """Each line's different words as rising 40-bit hashes, with their lines. Frequent words would else rule a SimHash."""
     word = words >> np.uint64(24)  # 40 bits tell a line's words apart; a slice's lines fit above them
     if n >> 24:
         order = np.lexsort((word, line))
@@ -73,7 +90,7 @@ def distinct_words(words: np.ndarray, line: np.ndarray, n: int) -> tuple[np.ndar
         both = np.sort((line.astype(np.uint64) << np.uint64(40)) | word)
         word, line = both & np.uint64((1 << 40) - 1), (both >> np.uint64(40)).astype(np.int64)
     new = np.concatenate([[True], (word[1:] != word[:-1]) | (line[1:] != line[:-1])])
-    return mixed(word[new] + np.uint64(1)), np.bincount(line[new], minlength=n)
+    return word[new], line[new]
 
 
 def run_keys(words: np.ndarray, begin: np.ndarray, n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,7 +107,7 @@ def run_keys(words: np.ndarray, begin: np.ndarray, n_words: np.ndarray) -> tuple
         keys.append(mixed(key + np.uint64(salt)))
 
     end = begin + n_words
-    long = np.flatnonzero(n_words >= SHORT)
+    long = np.flatnonzero((n_words >= SHORT) & (n_words < HALVED))
     for some, half in ((long, n_words // 2), (long[n_words[long] % 2 == 1], n_words // 2 + 1)):
         add(some, run(begin[some], begin[some] + half[some]), 1)
         add(some, run(end[some] - half[some], end[some]), 2)
@@ -102,21 +119,26 @@ def run_keys(words: np.ndarray, begin: np.ndarray, n_words: np.ndarray) -> tuple
                 left = [begin[some] + x for x in range(n) if x != k]
                 rest = sum(words[at] * up[x] for x, at in enumerate(left)) if len(some) else np.zeros(0, np.uint64)
                 add(some, mixed(rest + np.uint64(n - 1)), 3)
-    some = np.flatnonzero(n_words >= PAIRED)
+    some = np.flatnonzero(n_words > SHORT)
     if len(some):
-        pair = mixed(words[:-1] + words[1:] * np.uint64(0xA0761D6478BD642F))
-        pair = np.concatenate([pair, np.zeros(1, np.uint64)])
-        edges = np.stack([begin[some], end[some] - 1], 1).ravel()  # every other run is what lies between lines
-        for k in range(MINHASHES):
-            one, two = (np.minimum.reduceat(mixed(pair ^ np.uint64(0x9E3779B97F4A7C15 * (2 * k + j + 1) % (1 << 64))), edges)[::2] for j in (0, 1))
-            add(some, one + mixed(two), 16 + k)
+        none = np.uint64((1 << 64) - 1)
+        runs = np.full(len(words), none)
+        runs[: max(0, len(words) - WIDTH + 1)] = gram_hashes(words, WIDTH)
+        for k in range(1, WIDTH):  # runs that would reach into the next line
+            runs[np.maximum(end - k, begin)] = none
+        for k in range(LEAST):
+            least = np.minimum.reduceat(runs, begin)
+            found = some[least[some] != none]
+            add(found, least[found], 16)
+            if k < LEAST - 1:
+                runs[runs == np.repeat(least, n_words)] = none
     return np.concatenate(lines), np.concatenate(keys)
 
 
-def line_table(raw: np.ndarray, at: np.ndarray, with_simhash: bool, with_runs: bool = False):
-    """Of texts: first and end byte of each line, the lines before each text, and each line's words, digests, SimHash, length.
+def line_table(raw: np.ndarray, at: np.ndarray, features: bool = False):
+    """Of texts: first and end byte of each line, the lines before each text, and each line's number of words and digests.
 
-    With with_runs also the run keys: line and key.
+    With features also, for the lines that have words: their numbers, the word hashes and where each line's begin.
     """
     feeds = np.flatnonzero(raw == 10)
     n = len(at) - 1
@@ -128,97 +150,113 @@ def line_table(raw: np.ndarray, at: np.ndarray, with_simhash: bool, with_runs: b
     place = np.arange(len(feeds)) + owner_of_feed
     ends[place], starts[place + 1] = feeds, feeds + 1
     starts[before[:-1]], ends[before[1:] - 1] = at[:-1], at[1:]
-    words, w_start, w_end, _ = word_table(raw, at, ALNUM)
+    words, w_start, _, _ = word_table(raw, at, ALNUM)
     first = np.searchsorted(w_start, starts)
     n_words = np.searchsorted(w_start, ends) - first
     full = np.flatnonzero(n_words)
     begin = first[full]
-    inside = np.repeat(np.arange(len(full)), n_words[full])
-    nth = (np.arange(len(words)) - np.repeat(begin, n_words[full]) + 1).astype(np.uint64) if len(full) else np.zeros(0, np.uint64)
     digest = np.zeros((2, len(starts)), np.uint64)
-    chars = np.zeros(len(starts), np.int64)
-    simhash = np.zeros(len(starts), np.uint64)
     if len(full):
+        nth = (np.arange(len(words)) - np.repeat(begin, n_words[full]) + 1).astype(np.uint64)
         for k, salt in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)):
             digest[k, full] = mixed(np.add.reduceat(mixed(words + nth * np.uint64(salt)), begin) + n_words[full].astype(np.uint64))
-        lead = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
-        chars[full] = np.bincount(inside, weights=lead[w_end] - lead[w_start]).astype(np.int64) + n_words[full] - 1
-        if with_simhash:
-            distinct, sizes = distinct_words(words, inside, len(full))
-            simhash[full] = simhashes(distinct, np.cumsum(sizes) - sizes, sizes)
-    if with_runs:
-        line, key = run_keys(words, begin, n_words[full])
-        return starts, ends, before, n_words, digest, simhash, chars, (full[line], key)
-    return starts, ends, before, n_words, digest, simhash, chars
+    table = starts, ends, before, n_words, digest
+    return (*table, full, words, begin) if features else table
+
+
+def line_keys(words: np.ndarray, begin: np.ndarray, n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys by which lines meet: the number of the line and a key, for each. All words belong to the lines, in order."""
+    line, key = run_keys(words, begin, n_words)
+    sims, sizes = block_simhashes(words, np.repeat(np.arange(len(begin)), n_words), len(begin))
+    at, block = np.nonzero(sizes >= BLOCK_WORDS)
+    return np.concatenate([line, at]), np.concatenate([key, mixed(sims[at, block] | (block.astype(np.uint64) << np.uint64(56)))])
 
 
-_LINE = pa.struct([("line", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("sim", pa.int64()), ("n", pa.int64()), ("runs", pa.list_(pa.int64()))])
+_LINE = pa.struct([("line", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
 
-def _lines(batches, word_runs: bool):
+def _lines(batches):
     for batch in batches:
-        texts, totals, ends, parts, runs, done = batch.column(1), [], [np.zeros(1, np.int64)], [], [], 0
+        texts, totals, ends, parts, keys, done = batch.column(1), [], [np.zeros(1, np.int64)], [], [], 0
         for lo, hi, raw, at in text_slices(texts):
-            _, _, before, n_words, digest, simhash, chars, *more = line_table(raw, at, True, word_runs)
-            some = np.flatnonzero(n_words)
+            _, _, before, n_words, digest, full, words, begin = line_table(raw, at, True)
             number = np.arange(before[-1]) - np.repeat(before[:-1], np.diff(before))
-            line, key = more[0] if word_runs else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
-            runs.append((np.bincount(np.searchsorted(some, line), minlength=len(some)), key[np.argsort(line, kind="stable")]))
-            parts.append((number[some], digest[0, some], digest[1, some], simhash[some], chars[some]))
-            ends.append(done + np.searchsorted(some, before[1:]))
-            done += len(some)
+            line, key = line_keys(words, begin, n_words[full]) if len(full) else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+            keys.append((np.bincount(line, minlength=len(full)), key[np.argsort(line, kind="stable")]))
+            parts.append((number[full], digest[0, full], digest[1, full]))
+            ends.append(done + np.searchsorted(full, before[1:]))
+            done += len(full)
             totals.append(np.diff(before))
-        columns = [np.concatenate(x) for x in zip(*parts)] if parts else [np.zeros(0, np.int64)] * 5
-        counts, keys = (np.concatenate(x) for x in zip(*runs)) if runs else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
-        run_lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(keys.view(np.int64)))
-        lines = pa.StructArray.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c.view(np.int64)) for c in columns[1:]), run_lists], fields=list(_LINE))
+        columns = [np.concatenate(x) for x in zip(*parts)] if parts else [np.zeros(0, np.int64)] * 3
+        counts, key = (np.concatenate(x) for x in zip(*keys)) if keys else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(key.view(np.int64)))
+        lines = pa.StructArray.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c.view(np.int64)) for c in columns[1:]), lists], fields=list(_LINE))
         total = np.concatenate(totals) if totals else np.zeros(0, np.int64)
         total[np.asarray(texts.is_null())] = 0
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.ListArray.from_arrays(pa.array(np.concatenate(ends).astype(np.int32)), lines)], names=["id", "n_lines", "lines"])
 
 
-def block_keys(sim: Column, blocks: list[tuple[int, int]] = BLOCKS) -> Column:
-    """An array of keys: two blocks' bits each, with the pair's number."""
-    part = [F.shiftrightunsigned(sim, at).bitwiseAND(F.lit((1 << bits) - 1)) for at, bits in blocks]
-    return F.array(*[(F.lit(k).cast("long") * (1 << 32) + part[a] * (1 << 16) + part[b]).cast("long") for k, (a, b) in enumerate(combinations(range(len(blocks)), 2))])
+def _keys_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and line digests of a batch of rows that _lines() made."""
+    lines = batch.column(0).flatten()
+    keys, h1 = lines.field("keys"), np.asarray(lines.field("h1"))
+    return np.asarray(keys.flatten()).view(np.uint64), np.repeat(h1, np.diff(np.asarray(keys.offsets)))
+
+
+def _bits(bitmap, h1: np.ndarray) -> np.ndarray:
+    """Which of the digests are in the bitmap."""
+    bits, slot = np.frombuffer(bitmap.value, np.uint64), h1.view(np.uint64) & np.uint64(BITMAP_BITS - 1)
+    return (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
 
 
 def _texts(batches, bitmap):
-    """Normalised lines whose digest is in the bitmap."""
-    bits = np.frombuffer(bitmap.value, np.uint64)
+    """Normalised lines whose digest is in the bitmap, with what the cheap check of pairs needs."""
     for batch in batches:
         for _, _, raw, at in text_slices(batch.column(0)):
-            starts, ends, _, n_words, digest, _, _ = line_table(raw, at, False)
-            slot = digest[0] & np.uint64(BITMAP_BITS - 1)
-            some = np.flatnonzero((n_words > 0) & ((bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1))
-            _, once = np.unique(digest[0][some], return_index=True)
+            starts, ends, _, n_words, digest, full, words, begin = line_table(raw, at, True)
+            some = np.flatnonzero(_bits(bitmap, digest[0, full]))
+            _, once = np.unique(digest[0, full[some]], return_index=True)
             some = some[once]
-            data = raw.tobytes()
-            found = [_NOT_WORD.sub(b" ", data[starts[k] : ends[k]].lower()).strip(b" ").decode() for k in some]
-            yield pa.RecordBatch.from_arrays([pa.array(digest[0][some].view(np.int64)), pa.array(found, pa.string())], names=["id", "text"])
-
-
-def fuzzy_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, word_runs: bool = False) -> DataFrame:
+            if not len(some):
+                continue
+            data, n = raw.tobytes(), n_words[full[some]]
+            found = [_NOT_WORD.sub(b" ", data[starts[k] : ends[k]].lower()).strip(b" ").decode() for k in full[some]]
+            inside = np.repeat(begin[some], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            sims, _ = block_simhashes(words[inside], np.repeat(np.arange(len(some)), n), len(some))
+            chars = pa.array([len(t) for t in found], pa.int64())
+            columns = [pa.array(digest[0, full[some]].view(np.int64)), pa.array(found, pa.string()), chars, pa.array(n, pa.int64()), *(pa.array(sims[:, k].view(np.int64)) for k in range(BLOCKS))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "text", "n", "words", *(f"s{k}" for k in range(BLOCKS))])
+
+
+def fuzzy_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
     """One row for each row of docs: id, n_lines, dropped (array of line numbers from 0, rising)."""
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
-    rows = source.mapInArrow(lambda it: _lines(it, word_runs), f"id {kind}, n_lines long, lines array<struct<line: int, h1: long, h2: long, sim: long, n: long, runs: array<long>>>")
+    rows = source.mapInArrow(_lines, f"id {kind}, n_lines long, lines array<struct<line: int, h1: long, h2: long, keys: array<long>>>")
     rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "lines")
-    lines = rows.select("row", "id", F.explode("lines").alias("l")).select("row", "id", "l.*")
+    lines = rows.select("row", "id", F.explode(F.transform("lines", lambda x: F.struct(x["line"].alias("line"), x["h1"].alias("h1"), x["h2"].alias("h2")))).alias("l")).select("row", "id", "l.*")
     place = F.struct(F.col("id").isNull().alias("none"), "id", "row", "line")
-    nodes = written(lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.min("sim").alias("sim"), F.min("n").alias("n"), F.min("runs").alias("runs"), F.count(F.lit(1)).alias("times")), "nodes")
-    keys = frequent_keys(nodes.select(F.explode(block_keys(F.col("sim"), WIDE_BLOCKS if word_runs else BLOCKS)).alias("key"), F.col("h1").alias("id")))
-    runs = frequent_keys(nodes.select(F.explode(F.array_distinct("runs")).alias("key"), F.col("h1").alias("id"))) if word_runs else None
-    sharing = keys.select("id").unionByName(runs.select("id")) if word_runs else keys
+    nodes = written(lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times")), "nodes")
+    keys = written(shared_keys(rows.select("lines"), _keys_of, KEYS_PER_LINE * nodes.count()), "keys")
 
-    # the texts of all lines that share a key, read in one pass; the bitmap has a fixed size
+    # the texts of all lines that share a key, from the documents in which they come first; bitmap and numbers have a fixed size
     slot = F.col("id").bitwiseAND(F.lit(BITMAP_BITS - 1))
-    filled = sharing.groupBy(F.shiftright(slot, 6).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(id & 63 as int)))").alias("bits")).toArrow()  # BITMAP_BITS / 64 rows at most
+    filled = keys.groupBy(F.shiftright(slot, 6).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(id & 63 as int)))").alias("bits")).toArrow()  # BITMAP_BITS / 64 rows at most
     bitmap = np.zeros(BITMAP_BITS // 64, np.int64)
     bitmap[filled.column("word").to_numpy()] = filled.column("bits").to_numpy()
     sent = spark.sparkContext.broadcast(bitmap.tobytes())
-    texts = written(source.select("text").mapInArrow(lambda it: _texts(it, sent), "id long, text string").groupBy("id").agg(F.min("text").alias("text")), "line-texts")
+
+    def of_wanted(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(1).filter(pa.array(_bits(sent, np.asarray(batch.column(0)))))], names=["number"])
+
+    number = lambda c: F.pmod(F.xxhash64(F.col(c).cast("string")), F.lit(BUCKETS))
+    wanted = nodes.select("h1", number("first.id").alias("number")).mapInArrow(of_wanted, "number long").distinct()
+    some = source.withColumn("number", number("id")).join(F.broadcast(wanted), "number", "left_semi")
+    sims = [f"s{k}" for k in range(BLOCKS)]
+    found = some.select("text").mapInArrow(lambda it: _texts(it, sent), "id long, text string, n long, words long, " + ", ".join(f"{k} long" for k in sims))
+    texts = written(found.groupBy("id").agg(F.min(F.struct("text", "n", "words", *sims)).alias("x")).select("id", "x.*"), "line-texts")
 
     def confirm(pairs: DataFrame) -> DataFrame:
         one, two = (texts.select(F.col("id").alias(p), F.col("text").alias(f"{p}_text")) for p in "ab")
@@ -227,17 +265,12 @@ def fuzzy_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         # -1 beyond the bound; most lines that are this near differ by a few characters, which a narrow band shows
         return both.where((F.expr(f"levenshtein(a_text, b_text, least(most, {NARROW}))") >= 0) | (F.expr("levenshtein(a_text, b_text, most)") >= 0)).select("a", "b")
 
-    def as_long(a: str, b: str) -> Column:
-        return F.least(f"{a}_n", f"{b}_n") >= similarity * F.greatest(f"{a}_n", f"{b}_n") - 1e-9
-
     def near(a: str, b: str) -> Column:
-        return (F.bit_count(F.col(f"{a}_sim").bitwiseXOR(F.col(f"{b}_sim"))) <= (WIDE_RADIUS if word_runs else ACCEPTED)) & as_long(a, b)
+        apart = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"{a}_{k}").bitwiseXOR(F.col(f"{b}_{k}"))) for k in sims))
+        as_long = F.least(f"{a}_n", f"{b}_n") >= similarity * F.greatest(f"{a}_n", f"{b}_n") - 1e-9
+        return as_long & ((apart <= FAR) | (F.least(f"{a}_words", f"{b}_words") < FAR_WORDS))
 
-    about = nodes.select(F.col("h1").alias("id"), "sim", "n")
-    roots, links = linked(keys, about, near, confirm, rounds=1)
-    if word_runs:
-        _, more = linked(runs, about.select("id", "n"), as_long, confirm, rounds=1)
-        roots = components(links.unionByName(more))
+    roots, _ = linked(keys, texts.select("id", "n", "words", *sims), near, confirm, rounds=2)
     grouped = nodes.join(roots.withColumnRenamed("id", "h1"), "h1", "left").withColumn("root", F.coalesce("root", "h1"))
     keepers = grouped.groupBy("root").agg(F.min("first").alias("keep"), F.sum("times").alias("in_group")).where("in_group > 1").select("root", "keep")
     repeated = grouped.join(keepers, "root").select("h1", "h2", "keep")
@@ -254,10 +287,10 @@ def without_lines(docs: DataFrame, found: DataFrame, *, id_col: str = "doc_id",
 
 
 def op4_line_dedup(spark, sf_dir: str) -> DataFrame:
-    found = fuzzy_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"), word_runs=True)
+    found = fuzzy_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     listed = F.array_join(F.transform("dropped", lambda k: k.cast("string")), ",")
     return found.select(F.col("id").alias("doc_id"), "n_lines", (F.col("n_lines") - F.size("dropped")).alias("n_kept"), listed.alias("dropped"))
 
 
-#: SimHash candidates and connected groups are tested against a brute-force version.
+#: SimHash candidates and connected groups are tested against edit distances of all pairs.
 SQL: dict[str, str] = {}
