@@ -231,6 +231,19 @@ def test_lines_that_differ_in_three_words_share_a_block():
         assert (sims[0] == sims[1]).any() and sizes.sum() == 2 * n + 1
 
 
+def test_edits_within_a_bound():
+    rng = random.Random(6)
+    for _ in range(400):
+        a = "".join(rng.choice("abcä") for _ in range(rng.choice((0, 1, 3, 20, 90))))
+        b = list(a)
+        for _ in range(rng.randint(0, 12)):
+            at = rng.randint(0, len(b))
+            b[at : at + rng.randint(0, 2)] = rng.choice(("", "x", "ba"))
+        b = "".join(b)
+        d = edit_distance(a, b)
+        assert [line_dedup.within_edits(a, b, most) for most in (d - 1, d, d + 3)] == [False, True, True]
+
+
 def test_keys_that_several_tasks_hold(spark, monkeypatch):
     import numpy as np
 

@@ -15,7 +15,8 @@ occurrence stays, by document id, then line number.
 
 Recall, against edit distances of all pairs, is in the README and tested. Not sure to meet: lines of one or two words, and
 lines with changes in almost every word. Pairs of lines of FAR_WORDS words or more whose SimHashes are more than FAR
-bits of 192 apart (unrelated lines: 96) are not looked at.
+bits of 192 apart are not looked at: of pairs that meet and are similar, 1 in 600 is, of those that meet and aren't, 9
+in 10 are (measured on 28,000 and 84,000 such pairs).
 
 Nulls: a null text has no lines (n_lines 0), a null id sorts last. An empty text has one line, without words. Repeated
 rows are copies: the first one's lines stay. An empty table gives an empty result. Other columns are ignored.
@@ -36,13 +37,12 @@ from .store import BUCKETS, written
 from .words import ALNUM, _powers, gram_hashes, mixed, text_slices, word_table
 
 BLOCKS, BLOCK_BYTES, BLOCK_WORDS = 4, 6, 3
-FAR, FAR_WORDS = 80, 8
+FAR, FAR_WORDS = 52, 8
 #: Words of the shortest lines that meet by their words; up to SHORT, without each of them; below HALVED, by halves.
 SHORTEST, SHORT, HALVED, WIDTH, LEAST = 3, 5, 16, 4, 4
 #: Keys of a line, about: what a bucket of the key join is sized by.
 KEYS_PER_LINE = 8
 BITMAP_BITS = 1 << 25
-NARROW = 12
 _NOT_WORD = re.compile(rb"[^0-9a-z\x80-\xff]+")
 
 
@@ -228,6 +228,54 @@ def _texts(batches, bitmap):
             yield pa.RecordBatch.from_arrays(columns, names=["id", "text", "n", "words", *(f"s{k}" for k in range(BLOCKS))])
 
 
+def within_edits(a: str, b: str, most: int) -> bool:
+    """Whether at most `most` edits make one text the other: a column of the table of distances is two numbers' bits.
+
+    Myers' bit-vector method (1999); what both texts begin or end with is left out first.
+    """
+    if len(a) > len(b):
+        a, b = b, a
+    for step in (1, -1):
+        x, y = a[::step], b[::step]
+        same, end = 0, len(x)
+        while same < end:
+            mid = (same + end + 1) // 2
+            if x[same:mid] == y[same:mid]:
+                same = mid
+            else:
+                end = mid - 1
+        a, b = x[same:][::step], y[same:][::step]
+    if len(b) <= most or len(b) - len(a) > most:
+        return len(b) <= most
+    ones, last, where = (1 << len(a)) - 1, 1 << len(a) - 1, {}
+    for k, c in enumerate(a):
+        where[c] = where.get(c, 0) | 1 << k
+    more, less, distance, left = ones, 0, len(a), len(b)
+    for c in b:
+        here = where.get(c, 0)
+        diagonal = here | less
+        across = ((((here & more) + more) ^ more) | here) & ones
+        up, down = less | (ones ^ (across | more)), more & across
+        if up & last:
+            distance += 1
+        elif down & last:
+            distance -= 1
+        left -= 1
+        if distance - left > most:
+            return False
+        up, down = (up << 1 | 1) & ones, down << 1 & ones
+        more, less = down | (ones ^ (diagonal | up)), up & diagonal
+    return distance <= most
+
+
+def _confirmed(batches, similarity: float):
+    """Of (a, b, a_text, b_text) the pairs whose texts have that edit similarity."""
+    for batch in batches:
+        one, two = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+        near = [within_edits(x, y, int((1 - similarity) * max(len(x), len(y)) + 1e-9)) for x, y in zip(one, two)]
+        yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+
 def fuzzy_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
     """One row for each row of docs: id, n_lines, dropped (array of line numbers from 0, rising)."""
     spark = docs.sparkSession
@@ -260,10 +308,7 @@ def fuzzy_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     def confirm(pairs: DataFrame) -> DataFrame:
         one, two = (texts.select(F.col("id").alias(p), F.col("text").alias(f"{p}_text")) for p in "ab")
-        most = F.floor((1 - similarity) * F.greatest(F.char_length("a_text"), F.char_length("b_text")) + 1e-9).cast("int")
-        both = pairs.join(one, "a").join(two, "b").withColumn("most", most)
-        # -1 beyond the bound; most lines that are this near differ by a few characters, which a narrow band shows
-        return both.where((F.expr(f"levenshtein(a_text, b_text, least(most, {NARROW}))") >= 0) | (F.expr("levenshtein(a_text, b_text, most)") >= 0)).select("a", "b")
+        return pairs.join(one, "a").join(two, "b").select("a", "b", "a_text", "b_text").mapInArrow(lambda it: _confirmed(it, similarity), "a long, b long")
 
     def near(a: str, b: str) -> Column:
         apart = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"{a}_{k}").bitwiseXOR(F.col(f"{b}_{k}"))) for k in sims))
