@@ -170,6 +170,83 @@ def test_language_model(spark, monkeypatch):
     assert lm_scoring.lm_scores(frame(spark, []).limit(0)).count() == 0
 
 
+def toy_model(rng):
+    m = lm_scoring
+    groups = m.TOP // m.MEMBERS
+    draw = lambda *shape: rng.normal(0, 0.5, shape).astype(np.float32)
+    return m.Model(draw(m.CLASSES), draw(groups, m.MEMBERS), draw(m.ROWS, m.CLASSES), draw(m.ROWS, m.MEMBERS))
+
+
+def toy_history(rng, n):
+    number, cls = rng.integers(-1, 2 * lm_scoring.TOP, n).astype(np.int32), rng.integers(0, lm_scoring.SUFFIXES, n)
+    return lm_scoring.history(number, cls, np.array([0, n // 2, n])), number, cls
+
+
+def test_probabilities_of_all_words_sum_to_one():
+    """Over every class, and in it every member or, by counts, every other word and the unknown ones."""
+    m, rng = lm_scoring, np.random.default_rng(1)
+    model = toy_model(rng)
+    features, _, _ = toy_history(rng, 40)
+    total = np.zeros(40)
+    for word in range(m.TOP):
+        number = np.full(40, word, np.int32)
+        target = m.class_of(number, np.zeros(40, np.int64))
+        p, inner, _, q = m._forward(model, features, target, number)
+        assert len(inner) == 40
+        total += p[np.arange(40), target].astype(float) * q[:, word % m.MEMBERS]
+    outside = np.full(40, -1, np.int32)
+    for k in range(m.SUFFIXES):
+        target = m.class_of(outside, np.full(40, k))
+        counts = rng.integers(1, 9, 7)  # (c + 0.1) over N + 0.1 (V + 1), and one share for unknown words
+        shares = np.append(counts + 0.1, 0.1) / (counts.sum() + 0.1 * 8)
+        p, *_ = m._forward(model, features, target, outside)
+        total += p[np.arange(40), target].astype(float) * shares.sum()
+    assert np.abs(total - 1).max() < 1e-4
+
+
+def test_a_gradient_step_equals_finite_differences():
+    m, rng = lm_scoring, np.random.default_rng(2)
+    model = toy_model(rng)
+    for name in ("class_bias", "member_bias", "class_rows", "member_rows"):
+        setattr(model, name, getattr(model, name).astype(np.float64))
+    features, number, cls = toy_history(rng, 60)
+    target = m.class_of(number, cls)
+
+    def loss():
+        p, inner, _, q = m._forward(model, features, target, number)
+        return -np.log(p[np.arange(60), target]).sum() - np.log(q[np.arange(len(inner)), number[inner] % m.MEMBERS]).sum()
+
+    p, inner, rows, q = m._forward(model, features, target, number)
+    p[np.arange(60), target] -= 1
+    q[np.arange(len(inner)), number[inner] % m.MEMBERS] -= 1
+    for table, uses, g in ((model.class_rows, features, p), (model.member_rows, rows, q)):
+        step = np.zeros_like(table)
+        for f in uses:
+            m._descend(step, np.zeros(m.ROWS) - 9, f, g.astype(np.float32), 1.0)  # seen: undone below
+        grad = np.zeros_like(table)
+        for f in uses:
+            np.add.at(grad, f, g)
+            scale = 1 / np.sqrt(1 + np.bincount(f, minlength=m.ROWS))
+            back = np.zeros_like(table)
+            np.add.at(back, f, g)
+            step += scale[:, None] * back
+        assert np.abs(step).max() < 1e-4  # each step is the gradient of its rows, scaled by how often they were seen
+        for row, k in zip(uses[0][:20], rng.integers(0, table.shape[1], 20)):
+            held = table[row, k]
+            table[row, k] = held + 1e-5
+            up = loss()
+            table[row, k] = held - 1e-5
+            assert abs((up - loss()) / 2e-5 - grad[row, k]) < 1e-4
+            table[row, k] = held
+
+
+def test_sums_of_runs():
+    rng = np.random.default_rng(3)
+    g = rng.normal(size=(500, 5)).astype(np.float32)
+    starts = np.unique(np.append(rng.integers(0, 300, 120), 0))
+    assert np.allclose(lm_scoring._sums(g, starts, np.diff(np.append(starts, 500))), np.add.reduceat(g, starts, axis=0), atol=1e-4)
+
+
 def test_word_lookup_finds_every_word():
     rng = np.random.default_rng(1)
     h = np.unique(rng.integers(1, 2**63, 5000, dtype=np.uint64))

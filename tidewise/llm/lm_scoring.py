@@ -8,7 +8,7 @@ weights for hashed features of the history: the last word, the one before it (a
 Counts are exact over all training texts: tasks add up their words, and Spark adds up the tasks. Words are looked up in
 a table of the at most TABLE most frequent ones, which is broadcast; the others are counted per text and joined with
 their counts. Training runs in rounds over disjoint parts of the training texts: each task makes mini-batch gradient
-steps over its part, and the tasks' changes are averaged by a tree of sums over blocks of weights. Scores are made in
+steps over its part, and the tasks' changes are averaged, weighted by their tokens, by a tree of sums over blocks of weights. Scores are made in
 numpy batches of one slice of texts each.
 
 Nulls: a null text is empty (one end token); a null id counts as the text "" when folds are made, and is kept. Repeated
@@ -36,6 +36,7 @@ TABLE = 1 << 20
 #: Rows of hashed features in either weight table.
 ROWS = 1 << 13
 BLOCK, FAN_IN = 512, 32
+SHORT_RUN = 8
 #: Distinct words that a task gathers before it passes them on.
 GATHER = 2_000_000
 _END = np.uint64(0xE4D0000000000001)
@@ -169,24 +170,46 @@ def class_of(number: np.ndarray, cls: np.ndarray) -> np.ndarray:
     return np.where((number >= 0) & (number < TOP), number // MEMBERS, TOP // MEMBERS + cls)
 
 
+def _sums(g: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of runs of rows: long runs as products with ones, short ones row by row for all runs at once."""
+    total = np.empty((len(starts), g.shape[1]), np.float32)
+    ones = np.ones(sizes.max(), np.float32)
+    for k in np.flatnonzero(sizes > SHORT_RUN):
+        total[k] = ones[: sizes[k]] @ g[starts[k] : starts[k] + sizes[k]]
+    short = np.flatnonzero(sizes <= SHORT_RUN)
+    at, left = starts[short], sizes[short]
+    some = g[at]
+    for d in range(1, SHORT_RUN):
+        more = np.flatnonzero(left > d)
+        if not len(more):
+            break
+        some[more] += g[at[more] + d]
+    total[short] = some
+    return total
+
+
 def _descend(table: np.ndarray, seen: np.ndarray, rows: np.ndarray, g: np.ndarray, rate: float) -> None:
     order = np.argsort(rows, kind="stable")
     sorted_rows = rows[order]
     starts = np.flatnonzero(np.concatenate([[True], sorted_rows[1:] != sorted_rows[:-1]]))
-    where = sorted_rows[starts]
-    seen[where] += np.diff(np.append(starts, len(rows)))
-    table[where] -= (rate / np.sqrt(10 + seen[where]))[:, None] * np.add.reduceat(g[order], starts, axis=0)
+    where, sizes = sorted_rows[starts], np.diff(np.append(starts, len(rows)))
+    seen[where] += sizes
+    change = _sums(g[order], starts, sizes)
+    change *= (rate / np.sqrt(10 + seen[where])).astype(np.float32)[:, None]
+    table[where] -= change
 
 
 def _train(batches, words, model, rate: float, batch_tokens: int):
-    """Mini-batch gradient steps over the task's texts; yields the change of each block of weights, and the weight 1."""
+    """Mini-batch gradient steps over the task's texts; yields the change of each block of weights,
+    and the tokens it saw as its weight."""
     words, start = words.value, model.value
     now = Model(start.class_bias, start.member_bias, start.class_rows.copy(), start.member_rows.copy())
     seen, inner_seen = np.zeros(ROWS), np.zeros(ROWS)
-    steps = 0
+    trained = 0
     for batch in batches:
         for _, _, raw, at in text_slices(batch.column(0)):
             h, cls, first = tokens(raw, at)
+            trained += len(h)
             number = words.look_up(h)
             every = history(number, cls, first)
             target = class_of(number, cls)
@@ -201,12 +224,11 @@ def _train(batches, words, model, rate: float, batch_tokens: int):
                     q[np.arange(len(q)), n[inner] % MEMBERS] -= 1
                     for r in rows:
                         _descend(now.member_rows, inner_seen, r, q, rate)
-                steps += 1
-    if steps:
+    if trained:
         for kind, new, old in ((0, now.class_rows, start.class_rows), (1, now.member_rows, start.member_rows)):
-            change = (new - old).astype(np.float32)
+            change = (new - old) * np.float32(trained)
             for k in range(0, ROWS, BLOCK):
-                yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([k], pa.int32()), pa.array([1.0]), pa.array([change[k : k + BLOCK].tobytes()], pa.binary())], names=["kind", "block", "weight", "change"])
+                yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([k], pa.int32()), pa.array([float(trained)]), pa.array([change[k : k + BLOCK].tobytes()], pa.binary())], names=["kind", "block", "weight", "change"])
 
 
 def _summed(table):
