@@ -50,16 +50,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spare(docs: DataFrame, name: str) -> str:
+    """A column name for the library's own use that docs doesn't have."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def with_row_key(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    """docs with a number of each row's id and text, and its column's name: rows of one id, or of none, are told apart."""
+    key = spare(docs, "row_key")
+    return docs.withColumn(key, F.xxhash64(F.col(id_col), F.lit("/"), F.col(text_col))), key
+
+
 def without(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
     """docs without the rows whose id is in gone (id), which need not be distinct; null ids stay.
 
     At most BUCKETS hash numbers of the ids in gone are broadcast. Rows with other numbers pass as they are read; only
-    the rest is shuffled for the exact anti-join.
+    the rest is shuffled for the exact anti-join. docs may have columns of any name.
     """
-    gone = gone.select(F.col("id").alias("_gone")).where("_gone is not null").distinct()
+    slot, out = spare(docs, "slot"), spare(docs, "gone")
+    gone = gone.select(F.col("id").alias(out)).where(F.col(out).isNotNull()).distinct()
     number = lambda c: F.pmod(F.xxhash64(F.col(c).cast("string")), F.lit(BUCKETS))
-    numbers = F.broadcast(gone.select(number("_gone").alias("_number")).distinct())
-    marked = docs.withColumn("_number", number(id_col))
-    rest = marked.join(numbers, "_number", "left_semi")
-    rest = rest.join(gone, rest[id_col] == gone["_gone"], "left_anti")
-    return marked.join(numbers, "_number", "left_anti").drop("_number").unionByName(rest.select(*docs.columns))
+    numbers = F.broadcast(gone.select(number(out).alias(slot)).distinct())
+    marked = docs.withColumn(slot, number(id_col))
+    rest = marked.join(numbers, slot, "left_semi")
+    rest = rest.join(gone, F.col(id_col) == F.col(out), "left_anti")
+    return marked.join(numbers, slot, "left_anti").drop(slot).unionByName(rest.select(*docs.columns))
