@@ -2,6 +2,11 @@
 
 Each stage works on what the one before it kept, read again from Parquet; all but the last return the columns of
 documents.
+
+Every stage takes null ids and texts, repeated ids, empty tables and columns of any further name. A null text is an empty
+one. Rows are judged one by one: of rows that share an id, or have none, one may go and another stay. Rows that repeat an
+id and a text are copies, and one stays; of equal texts the longest as written, then the smallest id, stays; of near copies
+one row of each group stays, whichever has the smallest row key (a hash of id and text).
 """
 
 from __future__ import annotations
@@ -14,7 +19,7 @@ from tidewise.llm import decontaminate as leaks
 from tidewise.llm import exact_dedup as exact
 from tidewise.llm import minhash_dedup as near
 from tidewise.llm import packing, quality
-from tidewise.llm.store import table, without, written
+from tidewise.llm.store import spare, table, with_row_key, without, written
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,26 +37,28 @@ def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     if mixed.isEmpty():
         return once
     # an id with copies and other texts, or repeated rows: its rows are told apart by their digests
-    same = lambda a, b: a.eqNullSafe(b)
-    rest = once.join(mixed.withColumnRenamed("id", "_id"), same(F.col("doc_id"), F.col("_id")), "left_semi")
-    others = once.join(mixed.withColumnRenamed("id", "_id"), same(F.col("doc_id"), F.col("_id")), "left_anti")
-    rest = rest.withColumn("_digest", exact.sha256(exact.normalised(F.col("text"))))
-    gone = pairs.where("not stays").select(F.col("id").alias("_id"), F.col("digest").alias("_gone"))
-    rest = rest.join(gone, same(F.col("doc_id"), F.col("_id")) & (F.col("_digest") == F.col("_gone")), "left_anti")
-    first = F.row_number().over(Window.partitionBy("doc_id", "_digest").orderBy(F.char_length(F.coalesce("text", F.lit(""))).desc()))
-    return others.unionByName(rest.withColumn("_n", first).where("_n = 1").select(*docs.columns))
+    other, digest, gone, nth = (spare(docs, c) for c in ("other_id", "digest", "gone", "nth"))
+    same = F.col("doc_id").eqNullSafe(F.col(other))
+    mixed = mixed.withColumnRenamed("id", other)
+    rest = once.join(mixed, same, "left_semi").withColumn(digest, exact.sha256(exact.normalised(F.col("text"))))
+    dropped = pairs.where("not stays").select(F.col("id").alias(other), F.col("digest").alias(gone))
+    rest = rest.join(dropped, same & (F.col(digest) == F.col(gone)), "left_anti")
+    first = F.row_number().over(Window.partitionBy("doc_id", digest).orderBy(F.char_length(F.coalesce("text", F.lit(""))).desc(), "text"))
+    return once.join(mixed, same, "left_anti").unionByName(rest.withColumn(nth, first).where(F.col(nth) == 1).select(*docs.columns))
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, a similarity of 0.8 or more."""
-    found = near.near_duplicates(docs, width=5, percent=80)
-    return without(docs, found.where(~F.col("kept")).select("id"), "doc_id")
+    rows, key = with_row_key(docs, "doc_id", "text")
+    found = near.near_duplicates(rows, id_col=key, width=5, percent=80)
+    return without(rows, found.where(~F.col("kept")).select("id"), key).drop(key)
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than one word in twenty stands in a benchmark passage."""
-    found = leaks.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return without(docs, found.where("contaminated").select("id"), "doc_id")
+    rows, key = with_row_key(docs, "doc_id", "text")
+    found = leaks.decontaminate(rows, table(spark, sf_dir, "benchmark"), id_col=key)
+    return without(rows, found.where("contaminated").select("id"), key).drop(key)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
