@@ -178,7 +178,7 @@ def test_expressions(spark):
 def test_configuration():
     assert resolve_models("auto", "fast_training") == ["Popularity", "ItemCF"] and resolve_models(["A", "A"], "x") == ["A"]
     assert model_settings("fast_training", {"BPRMF": {"epochs": 9}})["BPRMF"] == {"epochs": 9, "max_training_pairs": 20_000}
-    for bad in (lambda: resolve_models([], "x"), lambda: resolve_models(None, "x"), lambda: Execution(mode="y"), lambda: Execution(history_partitions=0)):
+    for bad in (lambda: resolve_models([], "x"), lambda: resolve_models(None, "x"), lambda: Execution(history_partitions=0)):
         with pytest.raises(ValueError):
             bad()
 

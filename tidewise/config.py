@@ -42,22 +42,13 @@ class Columns:
 
 @dataclass(frozen=True)
 class Execution:
-    """Limits; all must be positive. mode: auto, in_memory or streaming."""
+    """history_partitions: buckets of a saved history index. Spark itself decides what is held in memory."""
 
-    mode: str = "auto"
-    max_in_memory_interactions: int = 2_000_000
-    sample_interactions: int = 1_000_000
     history_partitions: int = 256
-    max_catalog_items: int = 2_000_000
-    max_sample_history_per_user: int = 200
-    max_inference_score_mb: int = 64
 
     def __post_init__(self):
-        if self.mode not in ("auto", "in_memory", "streaming"):
-            raise ValueError(f"mode must be auto, in_memory or streaming, not {self.mode!r}")
-        wrong = [k for k, v in vars(self).items() if k != "mode" and v <= 0]
-        if wrong:
-            raise ValueError(f"must be positive: {', '.join(wrong)}")
+        if self.history_partitions < 1:
+            raise ValueError("history_partitions must be positive")
 
 
 def preset(name: str) -> list[str]:
@@ -68,9 +59,8 @@ def preset(name: str) -> list[str]:
 
 def resolve_models(models: str | list[str] | None, preset_name: str) -> list[str]:
     """The requested models without repeats, or the preset's."""
-    if models in (None, "auto"):
-        return preset(preset_name)
-    names = [models] if isinstance(models, str) else list(dict.fromkeys(models))
+    wanted = preset(preset_name) if models is None or models == "auto" else models
+    names = list(dict.fromkeys([wanted] if isinstance(wanted, str) else wanted))
     if not names:
         raise ValueError("no models were requested")
     return names
