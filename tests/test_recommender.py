@@ -198,9 +198,8 @@ def test_streams_follow_the_batch_results(spark, clustered, tmp_path):
     df = _inner(spark, clustered)
     df.repartition(4).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = incremental.popularity_stream(stream, str(tmp_path / "c1"), "popular_now")
-    q.awaitTermination()
-    last = spark.table("popular_now").groupBy("item").agg(F.max("n").alias("n"))
+    incremental.popularity_stream(stream, str(tmp_path / "p"), str(tmp_path / "c1")).awaitTermination()
+    last = incremental.popularity_table(spark, str(tmp_path / "p")).select("item", "n")
     assert sorted(map(tuple, last.collect())) == sorted((r["item"], r["n"]) for r in history.popularity(df).collect())
     incremental.history_stream(stream, str(tmp_path / "h"), str(tmp_path / "c2"), 4).awaitTermination()
     assert sorted(map(tuple, incremental.history_table(spark, str(tmp_path / "h")).collect())) == sorted(map(tuple, history.seen_pairs(df).collect()))
@@ -212,3 +211,25 @@ def test_driver_contract(spark):
     names = entry.queries()
     assert set(entry.oracle_sql()) <= set(names)
     assert entry.entry(spark).count() == 2
+
+
+def test_a_capped_factor_model_still_has_all_users_and_their_histories(spark, clustered):
+    df = _inner(spark, clustered)
+    model = FactorModel(factors=4, epochs=1, max_training_pairs=20).fit(df, df.select("item").distinct())
+    assert model.users.count() == df.select("user").distinct().count()
+
+
+def test_a_failing_refit_keeps_the_compared_model(spark, clustered, monkeypatch):
+    r = AutoRecommender(spark)
+    calls, own = [], AutoRecommender._fitted
+
+    def fitted(self, name, train, **override):
+        calls.append(name)
+        if len(calls) > 1:
+            raise RuntimeError("no memory")
+        return own(self, name, train, **override)
+
+    monkeypatch.setattr(AutoRecommender, "_fitted", fitted)
+    r.fit(clustered, models=["Popularity"])
+    assert len(calls) == 2 and r.leaderboard()["refit_status"].tolist() == ["kept: RuntimeError: no memory"]
+    assert r.recommend(None, k=3).count() > 0

@@ -177,13 +177,13 @@ class AutoRecommender:
         board["score_val"] = [float(scores.get(m, float("nan"))) for m in board["model"]]
         for key in ("status", "train_time_s"):
             board[key] = [self.stats.get(m, {}).get(key) for m in board["model"]]
+        deployed = rows if validation_data is None else rows.unionByName(val)
+        wanted = [] if refit_full is False else [self.model_best] if refit_full in (True, "best") else fitted
+        refitted = {n: self._refit(n, deployed) for n in wanted}
         board["is_best"] = board["model"] == self.model_best
+        board["refit_status"] = [refitted.get(m, "not asked for") for m in board["model"]]
         missing = [{"model": n, **{k: v for k, v in s.items() if k != "error"}, "is_best": False} for n, s in self.stats.items() if s["status"] != "ok"]
-        self.report = Report(pd.concat([board, pd.DataFrame(missing)], ignore_index=True) if missing else board, {"split": split, "scored_on": "test" if self.has_test else "validation", "seed": self.seed, "columns": vars(self.columns), "models": self.stats, "weights": self.weights})
-        deployed = rows if validation_data is None else rows.unionByName(val)
-        if refit_full is not False:
-            for n in [self.model_best] if refit_full in (True, "best") else fitted:
-                self.models[n] = self._fitted(n, deployed)
+        self.report = Report(pd.concat([board, pd.DataFrame(missing)], ignore_index=True) if missing else board, {"split": split, "scored_on": "test" if self.has_test else "validation", "seed": self.seed, "columns": vars(self.columns), "models": self.stats, "weights": self.weights, "refit": refitted})
         self.seen = history.seen_pairs(deployed).persist()
         self.train_rows = deployed
         return self
@@ -192,6 +192,16 @@ class AutoRecommender:
         model = self.registry.create(name, {**self.settings.get(name, {}), **override}, random_state=self.seed)
         return model.fit(Data(train, self.catalog, self.blocks))
 
+    def _refit(self, name: str, rows: DataFrame) -> str:
+        """Trains a model again on all rows; if that fails, or time is up, the model that was compared stays."""
+        if self.deadline and time.monotonic() > self.deadline:
+            return "kept: no time left"
+        try:
+            self.models[name] = self._fitted(name, rows)
+        except Exception as error:  # a model may fail in any way; the fit as a whole goes on
+            return f"kept: {type(error).__name__}: {str(error)[:200]}"
+        return "ok"
+
     def _tune(self, name: str, train, val, seen, k: int, trials: int) -> None:
         """A few coarse trials, the better half again in full; the best settings stay."""
         space = SEARCH_SPACES.get(name) or (GRAPH_SEARCH_SPACE if name in ("LightGCN", "FREEDOM") else None)

@@ -98,7 +98,7 @@ class BPRMF(VectorModel):
 
 
 class VBPR(VectorModel):
-    def __init__(self, id_factors: int = 24, content_factors: int = 12, epochs: int = 3, learning_rate: float = 0.02, max_training_pairs: int | None = 50_000, **settings):
+    def __init__(self, id_factors: int = 24, content_factors: int = 12, epochs: int = 3, learning_rate: float = 0.02, max_training_pairs: int | None = None, **settings):
         self.model = FactorModel(factors=id_factors, content_factors=content_factors, epochs=epochs, learning_rate=learning_rate, max_training_pairs=max_training_pairs, **settings)
 
     def _vectors(self, data: Data) -> None:

@@ -36,7 +36,7 @@ def vbpr_recommend(spark, d):
     train, _ = training(spark, d)
     catalog = train.select("item").distinct()
     vectors = features.embedding(table(spark, d, "embeddings"), "vec_id", "embedding")
-    model = FactorModel(factors=24, content_factors=12, epochs=3, learning_rate=0.02, max_training_pairs=50_000).fit(train, catalog, features.aligned(catalog, vectors, 64))
+    model = FactorModel(factors=24, content_factors=12, epochs=3, learning_rate=0.02).fit(train, catalog, features.aligned(catalog, vectors, 64))
     return _recommended(model, history.seen_pairs(train))
 
 

@@ -8,10 +8,19 @@ from pyspark.sql import functions as F
 from ..operators.history import bucket
 
 
-def popularity_stream(events: DataFrame, checkpoint: str, name: str):
-    """Counts per item in update mode, as a memory table of changes; returns the started query."""
+def popularity_stream(events: DataFrame, path: str, checkpoint: str):
+    """Writes each batch's changed counts per item to a table; a batch that runs again replaces itself. Returns the started query."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
     counts = events.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
-    return counts.writeStream.outputMode("update").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return counts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def popularity_table(spark, path: str) -> DataFrame:
+    """(item, n) after all batches: an item's count only grows."""
+    return spark.read.option("basePath", path).parquet(f"{path}/batch=*").groupBy("item").agg(F.max("n").alias("n"))
 
 
 def history_stream(events: DataFrame, path: str, checkpoint: str, buckets: int = 256):
