@@ -199,11 +199,11 @@ def freedom_degree_denoise(spark, d):
 
 
 @query(f"""WITH {EDGES}, act AS (SELECT iid, d, sum(d * (d - 1)) OVER (ORDER BY d, iid ROWS UNBOUNDED PRECEDING) AS spent, row_number() OVER (ORDER BY d, iid) AS r FROM di WHERE d >= 2 AND d <= 500),
- keep AS (SELECT iid, d FROM act WHERE spent <= 200000 OR r = 1), s AS (SELECT a.uid AS src, b.uid AS dst, round(sum(1.0::DOUBLE / (d * d)), 6) AS w FROM keep JOIN e a USING (iid) JOIN e b USING (iid) WHERE a.uid <> b.uid GROUP BY 1, 2)
+ keep AS (SELECT iid, d FROM act WHERE spent <= 5000000 OR r = 1), s AS (SELECT a.uid AS src, b.uid AS dst, round(sum(1.0::DOUBLE / (d * d)), 6) AS w FROM keep JOIN e a USING (iid) JOIN e b USING (iid) WHERE a.uid <> b.uid GROUP BY 1, 2)
 SELECT src, dst, w, rank FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY w DESC, dst) AS rank FROM s) WHERE rank <= 10""")
 def user_cooccurrence_topk(spark, d):
     edges = _edges(spark, d).select(F.col("user").alias("left"), F.col("item").alias("right"))
-    return graph.co_occurrence_top(edges, 10, 500, 200_000, 6).withColumn("rank", F.col("rank").cast("long"))
+    return graph.co_occurrence_top(edges, 10, 500, 5_000_000, 6).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(f"""WITH {EMBEDDED}, s AS (SELECT a.id AS src, b.id AS dst, round(list_dot_product(a.v, b.v), 6) AS w FROM ev a JOIN ev b ON a.id <> b.id),
