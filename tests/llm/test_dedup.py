@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 from tidewise.llm import exact_dedup, line_dedup, minhash_dedup
 from tidewise.llm.links import components
 
-SCHEMA = "doc_id long, text string, id string, row long, key long, n long"
+SCHEMA = "doc_id long, text string, id string, row long, key long, n long, dropped long"
 
 
 def frame(spark, rows):
     """Documents with extra columns whose names the operators use inside."""
-    return spark.createDataFrame([(i, t, "x", 1, 2, 3) for i, t in rows], SCHEMA)
+    return spark.createDataFrame([(i, t, "x", 1, 2, 3, 4) for i, t in rows], SCHEMA)
 
 
 def words(rng, n):

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .links import linked, shared_keys
-from .store import BUCKETS, written
+from .store import BUCKETS, spare, written
 from .words import ALNUM, _powers, gram_hashes, mixed, text_slices, word_table
 
 BLOCKS, BLOCK_BYTES, BLOCK_WORDS = 4, 6, 3
@@ -326,9 +326,11 @@ def fuzzy_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 def without_lines(docs: DataFrame, found: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the lines that fuzzy_lines() drops, for a table with one row for each id."""
-    drop = found.select(F.col("id").alias("_id"), F.col("dropped").alias("_dropped"))
-    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, k: ~F.array_contains("_dropped", k)), "\n")
-    return docs.join(drop, docs[id_col].eqNullSafe(F.col("_id")), "left").withColumn(text_col, F.when(F.size("_dropped") > 0, kept).otherwise(F.col(text_col))).drop("_id", "_dropped")
+    other, gone = spare(docs, "other_id"), spare(docs, "dropped")
+    drop = found.select(F.col("id").alias(other), F.col("dropped").alias(gone))
+    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, k: ~F.array_contains(gone, k)), "\n")
+    joined = docs.join(drop, F.col(id_col).eqNullSafe(F.col(other)), "left")
+    return joined.withColumn(text_col, F.when(F.size(gone) > 0, kept).otherwise(F.col(text_col))).drop(other, gone)
 
 
 def op4_line_dedup(spark, sf_dir: str) -> DataFrame:
