@@ -59,6 +59,33 @@ def test_exact_dedup(spark, weak):
         assert sorted((-1 if r["id"] is None else r["id"], r["digest"]) for r in got) == sorted((w[0], w[3]) for w in want)
 
 
+def test_exact_dedup_across_calls(spark, tmp_path):
+    """Later arrivals meet the state of earlier ones, whose bytes are read at their locators."""
+    rows = [r for r in corpus() if r[0] != 5]
+    parts, home = (rows[:70], rows[70:120], rows[120:]), f"{tmp_path}/a state"
+    got = []
+    for n, part in enumerate(parts):
+        frame(spark, part).repartition(3).write.parquet(f"{tmp_path}/part {n}")
+        docs = spark.read.parquet(f"{tmp_path}/part {n}")
+        got.append([tuple(r) for r in exact_dedup.exact_dedup(docs, state=home).select("id", "keep_id", "group_size", "digest", "kept").collect()])
+        so_far = {w[0]: w for w in exact_by_hand([r for p in parts[: n + 1] for r in p])}
+        assert sorted(g[:4] for g in got[-1]) == sorted(so_far[i] for i, _ in part)
+        assert all(g[4] == (g[0] == g[1]) for g in got[-1])
+    assert any(g[1] in {i for i, _ in parts[0]} for g in got[1])
+    first = [tuple(r) for r in exact_dedup.exact_dedup(spark.read.parquet(f"{tmp_path}/part 0")).select("id", "keep_id", "group_size").collect()]
+    assert sorted(first) == sorted(g[:3] for g in got[0])  # a call of its own starts afresh
+    with pytest.raises(ValueError, match="stronger digest"):
+        weak = {"digest": lambda c: F.substring(F.sha2(c, 256), 1, 1), "state": f"{tmp_path}/weak"}
+        for n in range(2):
+            exact_dedup.exact_dedup(spark.read.parquet(f"{tmp_path}/part {n}"), **weak)
+
+
+def test_exact_dedup_deals_out_frequent_digests(spark):
+    rows = [(k, "same text" if k % 3 else f"text {k}") for k in range(3000)]
+    got = exact_dedup.exact_dedup(frame(spark, rows)).collect()
+    assert sorted((r["id"], r["keep_id"], r["group_size"]) for r in got) == [w[:3] for w in exact_by_hand(rows)]
+
+
 def near_by_hand(rows, width, percent):
     sets = {}
     for i, t in rows:

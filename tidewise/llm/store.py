@@ -41,6 +41,15 @@ def removed(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def moved(spark: SparkSession, old: str, new: str) -> None:
+    """Renames a folder; its new parent is made if there is none."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    system = path(new).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(path(new).getParent())
+    if not system.rename(path(old), path(new)):
+        raise OSError(f"{old} can't be renamed to {new}")
+
+
 def lower_ascii(c):
     """A-Z to a-z; other letters stay."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
