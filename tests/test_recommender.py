@@ -233,3 +233,10 @@ def test_a_failing_refit_keeps_the_compared_model(spark, clustered, monkeypatch)
     r.fit(clustered, models=["Popularity"])
     assert len(calls) == 2 and r.leaderboard()["refit_status"].tolist() == ["kept: RuntimeError: no memory"]
     assert r.recommend(None, k=3).count() > 0
+
+
+def test_approximate_lists_hold_most_exact_neighbours(spark):
+    from tidewise.plans.trained_queries import QUERIES
+
+    found = {r["backend"]: (r["queries"], r["recall"]) for r in QUERIES["ann_recall_vs_exact"](spark, "/root/testdata/sf0.01").collect()}
+    assert set(found) == {"ivf", "ivfpq", "lsh"} and all(n == 500 and share >= 0.9 for n, share in found.values())

@@ -96,7 +96,7 @@ def _metric(kind):
     @query(f"WITH {PER_USER} SELECT model, round(avg({kind}), 6) AS value, count(*) AS n_users FROM met GROUP BY model")
     def run(spark, d):
         recs, test = both_recs(spark, d)
-        return metrics.user_metrics(recs, test, 10).groupBy("model").agg(F.round(F.avg(kind), 6).alias("value"), F.count(F.lit(1)).alias("n_users"))
+        return metrics.user_metrics(recs, test, 10, ["Popularity", "ItemCF"]).groupBy("model").agg(F.round(F.avg(kind), 6).alias("value"), F.count(F.lit(1)).alias("n_users"))
 
     QUERIES[f"metric_{kind}"], SQL[f"metric_{kind}"] = QUERIES.pop("run"), SQL.pop("run")
 
