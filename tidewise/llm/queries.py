@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, line_dedup, lm_scoring, minhash_dedup, packing, pii, quality, url_filter, warc
+from . import alignment, decontaminate, exact_dedup, line_dedup, lm_scoring, minhash_dedup, packing, pii, quality, token_counts, url_filter, warc
 
 QUERIES = {
     "op1_minhash_dedup": minhash_dedup.op1_minhash_dedup,
@@ -15,5 +15,7 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_lm_scoring": lm_scoring.op9_lm_scoring,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_token_counts": token_counts.op11_token_counts,
+    "op12_alignment": alignment.op12_alignment,
 }
-SQL = {k: v for module in (decontaminate, exact_dedup, line_dedup, lm_scoring, minhash_dedup, packing, pii, quality, url_filter, warc) for k, v in module.SQL.items()}
+SQL = {k: v for module in (alignment, decontaminate, exact_dedup, line_dedup, lm_scoring, minhash_dedup, packing, pii, quality, token_counts, url_filter, warc) for k, v in module.SQL.items()}
