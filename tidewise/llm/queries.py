@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, decontaminate, exact_dedup, line_dedup, lm_scoring, minhash_dedup, packing, pii, quality, token_counts, url_filter, warc
+from . import alignment, conversation_trie, decontaminate, exact_dedup, line_dedup, lm_scoring, minhash_dedup, packing, pii, quality, token_counts, url_filter, warc
 
 QUERIES = {
     "op1_minhash_dedup": minhash_dedup.op1_minhash_dedup,
@@ -17,5 +17,6 @@ QUERIES = {
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     "op11_token_counts": token_counts.op11_token_counts,
     "op12_alignment": alignment.op12_alignment,
+    "op13_conversation_trie": conversation_trie.op13_conversation_trie,
 }
-SQL = {k: v for module in (alignment, decontaminate, exact_dedup, line_dedup, lm_scoring, minhash_dedup, packing, pii, quality, token_counts, url_filter, warc) for k, v in module.SQL.items()}
+SQL = {k: v for module in (alignment, conversation_trie, decontaminate, exact_dedup, line_dedup, lm_scoring, minhash_dedup, packing, pii, quality, token_counts, url_filter, warc) for k, v in module.SQL.items()}
