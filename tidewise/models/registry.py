@@ -9,6 +9,7 @@ from __future__ import annotations
 import inspect
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import partial
 from typing import Any
 
 from pyspark.sql import DataFrame, Window
@@ -20,7 +21,7 @@ from ..operators.nearest import top_by_dot
 from .ann import ivf, ivfpq, lsh
 from .content import late_fusion
 from .factors import FactorModel
-from .graph_models import FREEDOM, LightGCN
+from .graph_models import BM3, DRAGON, FREEDOM, LATTICE, MGCN, MMGCN, LGMRec, LightGCN
 
 
 @dataclass
@@ -142,22 +143,19 @@ class MultiModalLateFusionKNN(VectorModel):
 
 
 class GraphModel(VectorModel):
-    kind: type = LightGCN
+    """A graph model of the given kind; training ends early with the time limit, and goes on where progress was kept."""
 
-    def __init__(self, **settings):
-        self.model = self.kind(**settings)
+    def __init__(self, kind: type, random_state: int = 42, time_limit: float | None = None, progress: str | None = None, **settings):
+        self.model = kind(random_state=random_state, time_limit=time_limit, progress=progress, **settings)
 
     def _vectors(self, data: Data) -> None:
         self.model.fit(data.train.select("user", "item"), data.catalog, data.blocks)
         self.users, self.items = self.model.users, self.model.items
+        self.early_stopped, self.num_params = self.model.early_stopped, self.model.num_params
 
 
-class LightGCNModel(GraphModel):
-    kind = LightGCN
-
-
-class FREEDOMModel(GraphModel):
-    kind = FREEDOM
+#: Graph models by name.
+GRAPH = {kind.__name__: kind for kind in (LightGCN, FREEDOM, MMGCN, LATTICE, BM3, MGCN, DRAGON, LGMRec)}
 
 
 @dataclass(frozen=True)
@@ -170,11 +168,14 @@ class Spec:
 class Registry:
     def __init__(self):
         self.factories: dict[str, Callable[..., Any]] = {
-            "Popularity": Popularity, "ItemCF": ItemCF, "BPRMF": BPRMF, "MultiModalItemKNN": MultiModalItemKNN, "MultiModalLateFusionKNN": MultiModalLateFusionKNN, "VBPR": VBPR, "LightGCN": LightGCNModel, "FREEDOM": FREEDOMModel,
+            "Popularity": Popularity, "ItemCF": ItemCF, "BPRMF": BPRMF, "MultiModalItemKNN": MultiModalItemKNN, "MultiModalLateFusionKNN": MultiModalLateFusionKNN, "VBPR": VBPR,
         }
-        families = ("baseline", "collaborative", "latent-factor", "multimodal-content", "multimodal-late-fusion", "multimodal-ranking", "graph-collaborative", "multimodal-graph")
-        content = ("MultiModalItemKNN", "MultiModalLateFusionKNN", "VBPR", "FREEDOM")
+        families = ("baseline", "collaborative", "latent-factor", "multimodal-content", "multimodal-late-fusion", "multimodal-ranking")
+        content = ("MultiModalItemKNN", "MultiModalLateFusionKNN", "VBPR")
         self.specs = {n: Spec(n, f, n in content) for n, f in zip(self.factories, families)}
+        for name, kind in GRAPH.items():
+            self.factories[name] = partial(GraphModel, kind)
+            self.specs[name] = Spec(name, "multimodal-graph" if kind.needs_content else "graph-collaborative", kind.needs_content)
 
     def register(self, name: str, factory: Callable[..., Any], overwrite: bool = False) -> None:
         if name in self.factories and not overwrite:

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from ..models.ann import ivf, ivfpq, lsh, recall
 from ..models.factors import FactorModel
-from ..models.graph_models import FREEDOM, LightGCN
+from ..models.graph_models import BM3, DRAGON, FREEDOM, LATTICE, MGCN, MMGCN, LGMRec, LightGCN
+from ..models.graph_training import behaviour_guidance
 from ..operators import features, history
 from ..operators.nearest import top_by_dot
-from .inputs import table
+from .inputs import SPLIT, table
 from .interaction_queries import training
 
 QUERIES: dict = {}
@@ -72,24 +73,73 @@ def ann_recall_vs_exact(spark, d):
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
-def _checkpointed(spark):
-    """Graph training checkpoints each epoch; a session without a folder for that gets a temporary one."""
-    import tempfile
-
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidewise-"))
+def _graph(spark, d, kind, **settings):
+    """Parts described by their vectors and by a one-hot of their brand; 8 factors and 2 epochs."""
+    train, _ = training(spark, d)
+    parts = table(spark, d, "part")
+    content = {"embedding": _vectors(spark, d), "brand": features.categorical(parts, "p_partkey", ["p_brand"])} if kind.needs_content else {}
+    model = kind(factors=8, epochs=2, **settings).fit(train, parts.select(F.col("p_partkey").alias("item")), content)
+    return _recommended(model, history.seen_pairs(train))
 
 
 @query
 def lightgcn_recommend(spark, d):
-    _checkpointed(spark)
-    train, _ = training(spark, d)
-    return _recommended(LightGCN(factors=8, epochs=2).fit(train, train.select("item").distinct()), history.seen_pairs(train))
+    return _graph(spark, d, LightGCN)
 
 
 @query
 def freedom_recommend(spark, d):
-    _checkpointed(spark)
+    return _graph(spark, d, FREEDOM)
+
+
+@query
+def mmgcn_recommend(spark, d):
+    return _graph(spark, d, MMGCN)
+
+
+@query
+def lattice_recommend(spark, d):
+    return _graph(spark, d, LATTICE)
+
+
+@query
+def bm3_recommend(spark, d):
+    return _graph(spark, d, BM3)
+
+
+@query
+def mgcn_recommend(spark, d):
+    return _graph(spark, d, MGCN)
+
+
+@query
+def dragon_recommend(spark, d):
+    return _graph(spark, d, DRAGON)
+
+
+@query
+def lgmrec_recommend(spark, d):
+    return _graph(spark, d, LGMRec)
+
+
+@query
+def behaviour_guidance_by_user(spark, d):
+    """How alike two views of a user's parts are: the halves of the parts' vectors stand for the views."""
     train, _ = training(spark, d)
-    model = FREEDOM(factors=8, epochs=2).fit(train, table(spark, d, "part").select(F.col("p_partkey").alias("item")), {"embedding": _vectors(spark, d)})
-    return _recommended(model, history.seen_pairs(train))
+    vec = _vectors(spark, d).select(F.col("id").alias("node"), "vec")
+    first, second = (vec.select("node", F.slice("vec", at, 32).alias("vec")) for at in (1, 33))
+    pairs = train.select(F.col("user").cast("long").alias("u"), F.col("item").cast("long").alias("i"))
+    sums, own, _ = behaviour_guidance(pairs, first, second, 32)
+    both = F.aggregate(F.zip_with(F.slice("vec", 1, 32), F.slice("vec", 33, 32), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    return sums.join(own, "u").select(F.col("u").alias("uid"), F.col("m").cast("long").alias("m"), (F.round((both - F.col("own")) / (F.col("m") * F.col("m")), 6) + 0.0).alias("guidance"))
+
+
+SQL["behaviour_guidance_by_user"] = f"""WITH {SPLIT},
+ n AS (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS norm FROM embeddings),
+ v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / norm) AS vec FROM n),
+ t AS (SELECT uid, vec_id, vec FROM train JOIN v ON vec_id = iid),
+ per_user AS (SELECT uid, count(*) AS m, sum(list_inner_product(vec[1:32], vec[33:64])) AS own FROM t GROUP BY uid),
+ x AS (SELECT uid, unnest(range(1, 33)) AS pos, unnest(vec[1:32]) AS a, unnest(vec[33:64]) AS b FROM t),
+ s AS (SELECT uid, pos, sum(a) AS a, sum(b) AS b FROM x GROUP BY uid, pos),
+ p AS (SELECT uid, sum(a * b) AS both_sums FROM s GROUP BY uid)
+SELECT uid, m, round((both_sums - own) / (m * m), 6) + 0.0 AS guidance FROM per_user JOIN p USING (uid)"""
