@@ -3,6 +3,7 @@
 import json
 import random
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -47,7 +48,9 @@ def test_leaderboard(fitted):
     assert {"Popularity", "ItemCF", "BPRMF", "RankFusion"} <= set(board["model"]) and board["is_best"].sum() == 1
     assert (board.loc[board["model"] != "RankFusion", "status"] == "ok").all(), fitted.stats
     best = board[board["is_best"]].iloc[0]
-    assert best["score_val"] == board.loc[board["model"] != "RankFusion", "score_val"].max()
+    assert best["score_val"] == board["score_val"].max()
+    ran = board[board["model"] != "RankFusion"]
+    assert (ran["training_scope"] == "full").all() and (ran["num_params"] > 0).all() and (ran["size_bytes"] == 8 * ran["num_params"]).all() and not ran["early_stopped"].any()
 
 
 def test_recommendations_are_unseen_and_ranked(fitted, clustered):
@@ -81,9 +84,11 @@ def test_save_and_load(fitted, spark, tmp_path):
     assert saved.recommend(["u1"], 3).count() == 3
     users = spark.createDataFrame([("u1",)], "user string")
     assert saved.history(users).count() == fitted.seen.where("user = 'u1'").count()
-    whole = json.loads((last / "manifest.json").read_text())
+    manifest = Path(last) / "manifest.json"
+    whole = json.loads(manifest.read_text())
     whole["manifest"]["k"] = 99
-    (last / "manifest.json").write_text(json.dumps(whole))
+    manifest.write_text(json.dumps(whole))
+    (Path(last) / ".manifest.json.crc").unlink(missing_ok=True)
     assert SavedRecommender(spark, tmp_path / "a").folder != last
     with pytest.raises(ValueError):
         SavedRecommender(spark, tmp_path / "none")
@@ -239,4 +244,4 @@ def test_approximate_lists_hold_most_exact_neighbours(spark):
     from tidewise.plans.trained_queries import QUERIES
 
     found = {r["backend"]: (r["queries"], r["recall"]) for r in QUERIES["ann_recall_vs_exact"](spark, "/root/testdata/sf0.01").collect()}
-    assert set(found) == {"ivf", "ivfpq", "lsh"} and all(n == 500 and share >= 0.9 for n, share in found.values())
+    assert set(found) == {"graph", "ivf", "ivfpq", "lsh"} and all(n == 500 and share >= 0.9 for n, share in found.values())

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
 import math
 import time
@@ -16,12 +15,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import artifacts
 from .config import GRAPH_SEARCH_SPACE, SEARCH_SPACES, SPLITS, Columns, Execution, model_settings, resolve_models
 from .hpo import ParzenSearch
-from .models.registry import Data, Registry
+from .models.registry import GRAPH, Data, Registry
 from .operators import features, fusion, history, metrics, splits, validate
 from .sources import history_index
-from .sources.tables import discover, load, write_recommendations
+from .sources.shared import Folder
+from .sources.tables import discover, frame_fingerprint, load, write_recommendations
 
 COARSE_EPOCHS = 2
 
@@ -107,12 +108,14 @@ class AutoRecommender:
         if self.blocks:
             names.append("MultiModalItemKNN")
             if preset != "fast_training":
-                names += ["MultiModalLateFusionKNN"] * (len(self.blocks) >= 2) + ["VBPR", "FREEDOM"]
+                names += ["MultiModalLateFusionKNN"] * (len(self.blocks) >= 2) + ["VBPR", *[n for n, kind in GRAPH.items() if kind.needs_content]]
         return list(dict.fromkeys(names))
 
     # ---- fit
 
-    def fit(self, interactions, users=None, items=None, modalities: dict | None = None, models: str | list[str] | None = "auto", presets: str = "medium_quality", model_configs: dict | None = None, time_limit: float | None = None, num_workers: int = 1, split: str = "temporal", hyperparameter_tune: bool = False, n_trials: int = 4, validation_data=None, test_data=None, refit_full: bool | str = "best") -> AutoRecommender:
+    def fit(self, interactions, users=None, items=None, modalities: dict | None = None, models: str | list[str] | None = "auto", presets: str = "medium_quality", model_configs: dict | None = None, time_limit: float | None = None, num_workers: int = 1, split: str = "temporal", hyperparameter_tune: bool = False, n_trials: int = 4, validation_data=None, test_data=None, refit_full: bool | str = "best", checkpoint_dir: str | Path | None = None) -> AutoRecommender:
+        """checkpoint_dir: a shared folder where each finished candidate and refit is kept, and each epoch of a graph model;
+        a fit of the same data, split and settings goes on from there."""
         if refit_full not in (False, True, "best", "all"):
             raise ValueError("refit_full is False, True, 'best' or 'all'")
         if split not in SPLITS:
@@ -128,11 +131,14 @@ class AutoRecommender:
         items = validate.entities(load(self.spark, items), self.columns.item, "items") if items is not None else None
         users = validate.entities(load(self.spark, users), self.columns.user, "users") if users is not None else None
         declared = validate.modalities(modalities, users, items)
-        self.blocks = {n: b.persist() for n, b in features.blocks(items, self.columns.item, declared["item"]).items()} if items is not None and declared.get("item") else {}
+        blocks = lambda df, key, side: {n: b.persist() for n, b in features.blocks(df, key, declared[side]).items()} if df is not None and declared.get(side) else {}
+        self.blocks, self.user_blocks = blocks(items, self.columns.item, "item"), blocks(users, self.columns.user, "user")
         self.catalog = (items.select(F.col(self.columns.item).alias("item")) if items is not None else rows.select("item")).distinct().persist()
         self.catalog_size = self.catalog.count()
         train, val, test = self._splits(rows, split, validation_data, test_data)
+        self._limits(rows)
         self.train_users = rows.select("user").distinct().persist()
+        self.checkpoint_dir = str(checkpoint_dir) if checkpoint_dir else None
         self.settings = model_settings(presets, model_configs)
         names = self._model_names(models, presets)
         for n in names:
@@ -141,21 +147,34 @@ class AutoRecommender:
         k = max(int(m.split("@")[1]) for m in self.eval_metrics)
         seen = history.seen_pairs(train).persist()
         self.stats, val_recs, test_recs = {}, {}, {}
+        depends = lambda *frames: [frame_fingerprint(f) for f in (*frames, self.catalog, *self.blocks.values(), *self.user_blocks.values())]
+        kept = lambda stage, *more: artifacts.Checkpoints(self.spark, self.checkpoint_dir, stage, [*more, split, self.seed, vars(self.execution), self.eval_metrics]) if self.checkpoint_dir else None
+        of_data = depends(train, val) if self.checkpoint_dir else []
+        candidates = kept("candidates", of_data, self.settings, hyperparameter_tune, n_trials)
 
         def candidate(name: str) -> None:
             began = time.monotonic()
-            if self.deadline and began > self.deadline:
-                self.stats[name] = {"status": "skipped", "train_time_s": 0.0}
-                return
             try:
-                if hyperparameter_tune:
-                    self._tune(name, train, val, seen, k, n_trials)
-                model = self._fitted(name, train)
+                found = candidates.load(name) if candidates else None
+                if found:
+                    model, self.stats[name] = found
+                    self.settings[name] = self.stats[name].pop("settings")
+                elif self.deadline and began > self.deadline:
+                    self.stats[name] = {"status": "skipped", "train_time_s": 0.0}
+                    return
+                else:
+                    if hyperparameter_tune:
+                        self._tune(name, train, val, seen, k, n_trials)
+                    model = self._fitted(name, train)
                 val_recs[name] = model.recommend(val.select("user").distinct(), seen, k).withColumn("model", F.lit(name)).persist()
                 test_recs[name] = model.recommend(test.select("user").distinct(), seen, k).withColumn("model", F.lit(name)).persist()
                 val_recs[name].count()
+                if not found:
+                    row = {"status": "ok", "train_time_s": round(time.monotonic() - began, 3), **self._statistics(name, model)}
+                    if candidates:
+                        candidates.save(name, model, {**row, "settings": self.settings.get(name, {})})
+                    self.stats[name] = row
                 self.models[name] = model
-                self.stats[name] = {"status": "ok", "train_time_s": round(time.monotonic() - began, 3)}
             except Exception as e:  # one model's failure is a row of the leaderboard, not the run's end
                 self.stats[name] = {"status": "failed", "train_time_s": round(time.monotonic() - began, 3), "error": str(e)[:300]}
 
@@ -173,38 +192,93 @@ class AutoRecommender:
         board = self._board(union(test_recs), test, k, fitted) if self.has_test else val_board.copy()
         val_board = val_board.set_index("model")
         scores = val_board[self.eval_metric] if len(val_board) else pd.Series(dtype=float)
-        self.model_best = max(fitted, key=lambda n: scores.get(n, -math.inf)) if len(scores) else fitted[0]
+        choices = [*fitted, fusion.FUSED] if len(fitted) > 1 else fitted
+        self.model_best = max(choices, key=lambda n: scores.get(n, -math.inf)) if len(scores) else fitted[0]
         board["score_val"] = [float(scores.get(m, float("nan"))) for m in board["model"]]
-        for key in ("status", "train_time_s"):
-            board[key] = [self.stats.get(m, {}).get(key) for m in board["model"]]
         deployed = rows if validation_data is None else rows.unionByName(val)
-        wanted = [] if refit_full is False else [self.model_best] if refit_full in (True, "best") else fitted
-        refitted = {n: self._refit(n, deployed) for n in wanted}
+        needed = fitted if self.model_best == fusion.FUSED else [self.model_best]
+        wanted = [] if refit_full is False else needed if refit_full == "best" else fitted
+        chosen = {n: self.settings.get(n, {}) for n in fitted}
+        refits = kept("refit", depends(deployed, val), chosen, needed) if wanted and self.checkpoint_dir else None
+        refitted = self._refit(wanted, needed, deployed, refits)
+        for key in ("status", "train_time_s", "training_scope", "early_stopped", "num_params", "size_bytes"):
+            board[key] = [self.stats.get(m, {}).get(key) for m in board["model"]]
         board["is_best"] = board["model"] == self.model_best
         board["refit_status"] = [refitted.get(m, "not asked for") for m in board["model"]]
         missing = [{"model": n, **{k: v for k, v in s.items() if k != "error"}, "is_best": False} for n, s in self.stats.items() if s["status"] != "ok"]
-        self.report = Report(pd.concat([board, pd.DataFrame(missing)], ignore_index=True) if missing else board, {"split": split, "scored_on": "test" if self.has_test else "validation", "seed": self.seed, "columns": vars(self.columns), "models": self.stats, "weights": self.weights, "refit": refitted})
+        self.summary = {"interactions": self.n_rows, "sampled_interactions": self.n_sampled, "execution_mode": "sampled" if self.sampled else "whole", "catalog_items": self.catalog_size, "catalog_truncated": self.catalog_truncated, "time_limit": time_limit, "split": split, "model_best": self.model_best, "refit_full": refit_full}
+        self.report = Report(pd.concat([board, pd.DataFrame(missing)], ignore_index=True) if missing else board, {"split": split, "scored_on": "test" if self.has_test else "validation", "seed": self.seed, "columns": vars(self.columns), "models": self.stats, "weights": self.weights, "refit": refitted, **self.summary})
         self.seen = history.seen_pairs(deployed).persist()
         self.train_rows = deployed
         return self
 
-    def _fitted(self, name: str, train: DataFrame, **override):
-        model = self.registry.create(name, {**self.settings.get(name, {}), **override}, random_state=self.seed)
-        return model.fit(Data(train, self.catalog, self.blocks))
+    def _limits(self, rows: DataFrame) -> None:
+        """Whether models other than Popularity learn from a sample of users, and whether the catalog is cut."""
+        limits = self.execution
+        self.n_rows = self.n_sampled = rows.count()
+        self.sampled = limits.mode == "sampled" or limits.mode == "auto" and self.n_rows > limits.max_interactions
+        self.catalog_truncated = self.sampled and self.catalog_size > limits.max_catalog_items
+        if self.catalog_truncated:  # the most frequent ones, by exact counts of all rows
+            best = history.heavy_hitters(rows, limits.max_catalog_items).select("item")
+            self.catalog = self.catalog.join(best, "item", "left_semi").persist()
+            self.catalog_size = self.catalog.count()
+
+    def _sample(self, train: DataFrame) -> DataFrame:
+        """A stable sample of users' newest rows, capped by user and in all; where the hash takes no user, the first rows by it."""
+        limits = self.execution
+        order = [F.desc("ts"), F.col("key")]
+        rate = min(1.0, limits.sample_interactions / max(self.n_rows, 1))
+        some = history.sampled_users(train, rate, limits.max_history_per_user, order)
+        if some.isEmpty():
+            some = train
+        some = some.orderBy(F.xxhash64(F.lit("sample"), F.col("user")), "user", *order).limit(limits.sample_interactions).persist()
+        self.n_sampled = some.count()
+        return some
+
+    def _statistics(self, name: str, model) -> dict[str, Any]:
+        numbers = artifacts.numbers_in(model)
+        scope = "sampled" if self.sampled and name != "Popularity" else "full"
+        return {"training_scope": scope, "early_stopped": bool(getattr(model, "early_stopped", False)), "num_params": numbers, "size_bytes": None if numbers is None else 8 * numbers}
 
-    def _refit(self, name: str, rows: DataFrame) -> str:
-        """Trains a model again on all rows; if that fails, or time is up, the model that was compared stays."""
-        if self.deadline and time.monotonic() > self.deadline:
-            return "kept: no time left"
-        try:
-            self.models[name] = self._fitted(name, rows)
-        except Exception as error:  # a model may fail in any way; the fit as a whole goes on
-            return f"kept: {type(error).__name__}: {str(error)[:200]}"
-        return "ok"
+    def _fitted(self, name: str, train: DataFrame, **override):
+        shared: dict[str, Any] = {"random_state": self.seed}
+        if self.deadline:
+            shared["time_limit"] = max(self.deadline - time.monotonic(), 1e-9)
+        if self.checkpoint_dir and not override:
+            shared["progress"] = f"{self.checkpoint_dir}/training"
+        model = self.registry.create(name, {**self.settings.get(name, {}), **override}, **shared)
+        rows = self._sample(train) if self.sampled and name != "Popularity" else train
+        if self.catalog_truncated:
+            rows = rows.join(self.catalog, "item", "left_semi")
+        return model.fit(Data(rows, self.catalog, self.blocks, self.user_blocks))
+
+    def _refit(self, wanted: list[str], needed: list[str], rows: DataFrame, kept: artifacts.Checkpoints | None) -> dict[str, str]:
+        """Trains models again on all rows; a status for each. A model whose refit fails, or for which no time is left, stays
+        as it was compared; where the fusion is the best and one of its models isn't refitted, none of them is replaced."""
+        made, status = {}, {}
+        for name in wanted:
+            try:
+                found = kept.load(name) if kept else None
+                if not found and self.deadline and time.monotonic() > self.deadline:
+                    status[name] = "kept: no time left"
+                    continue
+                made[name] = found[0] if found else self._fitted(name, rows)
+                if kept and not found:
+                    kept.save(name, made[name], {})
+                status[name] = "ok"
+            except Exception as error:  # a model may fail in any way; the fit as a whole goes on
+                status[name] = f"kept: {type(error).__name__}: {str(error)[:200]}"
+        if self.model_best == fusion.FUSED and any(n not in made for n in needed):
+            status |= {n: "discarded: incomplete ensemble" for n in made}
+            made = {}
+        self.models.update(made)
+        for name, model in made.items():
+            self.stats[name] |= self._statistics(name, model)
+        return status
 
     def _tune(self, name: str, train, val, seen, k: int, trials: int) -> None:
         """A few coarse trials, the better half again in full; the best settings stay."""
-        space = SEARCH_SPACES.get(name) or (GRAPH_SEARCH_SPACE if name in ("LightGCN", "FREEDOM") else None)
+        space = SEARCH_SPACES.get(name) or (GRAPH_SEARCH_SPACE if name in GRAPH else None)
         if not space:
             return
         search, tried = ParzenSearch(space, self.seed), []
@@ -237,21 +311,26 @@ class AutoRecommender:
             raise RuntimeError("call fit() first")
 
     def _chosen(self, models) -> list[str]:
+        """The models asked for; those of the fusion where it is."""
         names = [self.model_best] if models in (None, "best") else list(self.models) if models == "all" else resolve_models(models, "fast_training")
         unknown = [n for n in names if n not in self.models and n != fusion.FUSED]
         if unknown:
             raise ValueError(f"not fitted: {', '.join(unknown)}")
-        return list(self.models) if fusion.FUSED in names else names
+        return names
 
-    def recommend(self, users=None, k: int = 10, models="best", include_ensemble: bool = True, exclude_seen: bool = True) -> DataFrame:
-        """(user, item, rank, score, model); users: a list, a table with the user column, or None for all."""
+    def recommend(self, users=None, k: int = 10, models="best", include_ensemble: bool = True, exclude_seen: bool = True, ordered: bool = True) -> DataFrame:
+        """(user, item, rank, score, model); users: a list, a table with the user column, or None for all. Sorted by model,
+        user and rank, if ordered."""
         self._ready()
         if k < 1:
             raise ValueError("k must be positive")
+        if users is None and getattr(self, "sampled", False):
+            raise ValueError("users must be provided: this model was fitted on more rows than are listed at once")
         wanted = self._users(users)
         seen = self.seen.join(wanted, "user", "left_semi")
+        names = self._chosen(models)
         parts = []
-        for name in self._chosen(models):
+        for name in list(self.models) if fusion.FUSED in names else names:
             model = self.models[name]
             if exclude_seen:
                 recs = model.recommend(wanted, seen, k)
@@ -260,8 +339,12 @@ class AutoRecommender:
                 recs = history.top_k(model.score(pairs, seen), k)
             parts.append(recs.select("user", "item", "rank", "score", F.lit(name).alias("model")))
         out = _union(parts)
-        if include_ensemble and len(parts) > 1:
+        if fusion.FUSED in names:
+            fused = fusion.reciprocal_rank_fusion(out, k, self.weights)
+            out = out.where(F.col("model").isin(names)).unionByName(fused)
+        elif include_ensemble and len(parts) > 1:
             out = out.unionByName(fusion.reciprocal_rank_fusion(out, k, self.weights))
+        out = out.orderBy("model", "user", "rank") if ordered else out
         return out.select(F.col("user").alias(self.columns.user), F.col("item").alias(self.columns.item), "rank", "score", "model")
 
     def _users(self, users) -> DataFrame:
@@ -273,7 +356,7 @@ class AutoRecommender:
         return load(self.spark, users).select(F.col(self.columns.user).alias("user")).distinct()
 
     def recommend_to_parquet(self, users, path: str, k: int = 10, **kwargs) -> str:
-        return write_recommendations(self.recommend(users, k, **kwargs), path)
+        return write_recommendations(self.recommend(users, k, ordered=False, **kwargs), path)
 
     def predict(self, pairs, models="best") -> DataFrame:
         """The given pairs with a score by each model (0 where it has none), and by the fusion of several within the pairs of a user."""
@@ -281,11 +364,14 @@ class AutoRecommender:
         rows = load(self.spark, pairs).select(F.col(self.columns.user).alias("user"), F.col(self.columns.item).alias("item"))
         distinct = rows.distinct()
         seen = self.seen.join(distinct.select("user").distinct(), "user", "left_semi")
-        names = self._chosen(models)
+        asked = self._chosen(models)
+        names = list(self.models) if fusion.FUSED in asked else asked
         scored = _union([self.models[n].score(distinct, seen).select("user", "item", F.coalesce("score", F.lit(0.0)).alias("score"), F.lit(n).alias("model")) for n in names])
         if len(names) > 1:
             ranked = history.top_k(scored, 2**31 - 1, ("model", "user"))
             scored = scored.unionByName(fusion.reciprocal_rank_fusion(ranked, 2**31 - 1, self.weights).select("user", "item", "score", "model"))
+        if fusion.FUSED in asked:
+            scored = scored.where(F.col("model").isin(asked))
         return rows.join(scored, ["user", "item"], "left").select(F.col("user").alias(self.columns.user), F.col("item").alias(self.columns.item), "score", "model")
 
     def evaluate(self, test_data, models="all") -> Report:
@@ -301,62 +387,89 @@ class AutoRecommender:
 
     def set_model_best(self, name: str) -> None:
         self._ready()
-        if name not in self.models:
+        if name not in self.models and not (name == fusion.FUSED and len(self.models) > 1):
             raise ValueError(f"not fitted: {name}")
         self.model_best = name
         self.report.leaderboard["is_best"] = self.report.leaderboard["model"] == name
 
     # ---- artifacts
 
-    def save(self, folder: str | Path, k: int = 100, max_generations: int = 3) -> Path:
-        """A generation under folder: each model's k best unseen items per user, histories and a manifest with a digest.
+    def save(self, folder: str | Path, k: int = 100, max_generations: int = 3, best_only: bool = False, stale_lock: float = artifacts.STALE) -> str:
+        """A generation under folder: models as tables, each one's k best unseen items of each user (k=0: none), histories,
+        and a manifest with a digest. best_only: only the best model, or those of the fusion.
 
-        The pointer CURRENT moves last and at once, so a reader finds the old generation or the new one.
+        One writer at a time holds the folder's lock; one older than stale_lock seconds is taken over. The pointer CURRENT
+        moves last and at once, so a reader finds the old generation or the new one.
         """
         self._ready()
-        folder = Path(folder)
-        name = f"generation-{int(time.time() * 1000)}-{uuid.uuid4().hex[:8]}"
-        to = folder / name
-        write_recommendations(self.recommend(None, k, "all").withColumnsRenamed({self.columns.user: "user", self.columns.item: "item"}), f"{to}/recommendations")
-        index = history_index.build(self.seen, str(to), min(self.execution.history_partitions, 64))
-        manifest = {"best": self.model_best, "columns": vars(self.columns), "k": k, "history": Path(index).name, "weights": self.weights, "leaderboard": json.loads(self.report.leaderboard.to_json(orient="records"))}
-        body = json.dumps(manifest, sort_keys=True)
-        (to / "manifest.json").write_text(json.dumps({"sha256": hashlib.sha256(body.encode()).hexdigest(), "manifest": manifest}, sort_keys=True))
-        other = folder / f".CURRENT-{uuid.uuid4().hex}"
-        other.write_text(name)
-        other.replace(folder / "CURRENT")
-        import shutil
-
-        for old in sorted(p for p in folder.glob("generation-*") if p.name != name)[: -(max_generations - 1) or None]:
-            shutil.rmtree(old, ignore_errors=True)
-        return to
+        home = Folder(self.spark, str(folder))
+        names = list(self.models) if not best_only or self.model_best == fusion.FUSED else [self.model_best]
+        unsaved = [n for n in names if not artifacts.can_be_saved(self.models[n])]
+        with artifacts.writing(home, stale_lock):
+            name = f"generation-{int(time.time() * 1000)}-{uuid.uuid4().hex[:8]}"
+            to = Folder(self.spark, f"{home.path}/{name}")
+            models = {n: artifacts.write_model(to, f"models/{i}", self.models[n]) for i, n in enumerate(names) if n not in unsaved}
+            if k:
+                users = self.train_users
+                recs = self.recommend(users.select(F.col("user").alias(self.columns.user)), k, names, ordered=False)
+                write_recommendations(recs.withColumnsRenamed({self.columns.user: "user", self.columns.item: "item"}), f"{to.path}/recommendations")
+            index = history_index.build(self.seen, to.path, min(self.execution.history_partitions, 64))
+            for table, df in (("catalog", self.catalog), ("users", self.train_users)):
+                to.save(df, table)
+            manifest = {"best": self.model_best, "columns": vars(self.columns), "k": k, "history": index.rpartition("/")[2], "weights": self.weights, "leaderboard": json.loads(self.report.leaderboard.to_json(orient="records")), "models": models, "places": {n: f"models/{i}" for i, n in enumerate(names)}, "unsaved": unsaved, "metadata": json.loads(json.dumps(self.report.metadata, default=str)), "metrics": self.eval_metrics, "sampled": getattr(self, "sampled", False)}
+            to.write("manifest.json", json.dumps({"sha256": artifacts.told_digest(manifest), "manifest": manifest}, sort_keys=True))
+            home.write("CURRENT", name)
+            for old in [n for n in home.names() if n.startswith("generation-") and n != name][: -(max_generations - 1) or None]:
+                home.delete(old)
+        return to.path
+
+    @classmethod
+    def load(cls, spark: SparkSession, folder: str | Path) -> AutoRecommender:
+        """A recommender from the newest whole generation: its models score new users and pairs as before."""
+        at, manifest = _whole_generation(spark, str(folder))
+        columns = manifest["columns"]
+        loaded = cls(spark, columns["user"], columns["item"], columns["timestamp"], columns["label"], manifest["metrics"])
+        loaded.models = {n: artifacts.read_model(at, manifest["places"][n], told) for n, told in manifest["models"].items()}
+        loaded.model_best, loaded.weights, loaded.sampled = manifest["best"], manifest["weights"], manifest["sampled"]
+        loaded.catalog, loaded.train_users = at.table("catalog"), at.table("users")
+        loaded.catalog_size = loaded.catalog.count()
+        loaded.seen = spark.read.parquet(f"{at.path}/{manifest['history']}").select("user", "item")
+        loaded.report = Report(pd.DataFrame(manifest["leaderboard"]), manifest["metadata"])
+        return loaded
+
+
+def _whole_generation(spark: SparkSession, folder: str) -> tuple[Folder, dict[str, Any]]:
+    """The current generation, or the newest before it whose manifest and files are whole."""
+    home = Folder(spark, folder)
+    current = home.read("CURRENT") if home.exists("CURRENT") else ""
+    for name in filter(None, [current, *sorted((n for n in home.names() if n.startswith("generation-") and n != current), reverse=True)]):
+        at = Folder(spark, f"{home.path}/{name}")
+        try:
+            whole = json.loads(at.read("manifest.json"))
+            manifest = whole["manifest"]
+            if artifacts.told_digest(manifest) == whole["sha256"] and all(at.files(f"{manifest['places'][n]}/{t}") == [list(f) for f in told["files"]] for n, model in manifest["models"].items() for t, told in model["tables"].items()):
+                return at, manifest
+        except Exception:  # a generation that can't be read is not a whole one
+            continue
+    raise ValueError(f"no whole generation under {folder}: none passes the integrity check")
 
 
 class SavedRecommender:
-    """A saved generation: the current one, or the newest before it whose manifest is whole."""
+    """The lists and histories of a saved generation, without its models."""
 
     def __init__(self, spark: SparkSession, folder: str | Path):
-        self.spark, folder = spark, Path(folder)
-        current = (folder / "CURRENT").read_text() if (folder / "CURRENT").exists() else ""
-        names = [current, *sorted((p.name for p in folder.glob("generation-*") if p.name != current), reverse=True)]
-        for name in filter(None, names):
-            try:
-                whole = json.loads((folder / name / "manifest.json").read_text())
-                if hashlib.sha256(json.dumps(whole["manifest"], sort_keys=True).encode()).hexdigest() == whole["sha256"]:
-                    self.folder, self.manifest = folder / name, whole["manifest"]
-                    return
-            except (OSError, ValueError, KeyError):
-                continue
-        raise ValueError(f"no whole generation under {folder}")
+        self.spark = spark
+        at, self.manifest = _whole_generation(spark, str(folder))
+        self.folder = at.path
 
     def recommend(self, users: list | None = None, k: int = 10, model: str | None = None) -> DataFrame:
         if k > self.manifest["k"]:
             raise ValueError(f"{self.manifest['k']} items per user were saved")
-        recs = self.spark.read.parquet(str(self.folder / "recommendations")).where((F.col("rank") <= k) & (F.col("model") == (model or self.manifest["best"])))
+        recs = self.spark.read.parquet(f"{self.folder}/recommendations").where((F.col("rank") <= k) & (F.col("model") == (model or self.manifest["best"])))
         return recs if users is None else recs.where(F.col("user").isin(list(users)))
 
     def history(self, users: DataFrame) -> DataFrame:
-        return history_index.lookup(self.spark, str(self.folder / self.manifest["history"]), users)
+        return history_index.lookup(self.spark, f"{self.folder}/{self.manifest['history']}", users)
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:

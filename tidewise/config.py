@@ -15,10 +15,10 @@ PRESETS: dict[str, list[str]] = {
     "multimodal_high_quality": ["Popularity", "ItemCF", "BPRMF"],
 }
 EFFORT: dict[str, dict[str, dict[str, Any]]] = {
-    "fast_training": {"BPRMF": {"epochs": 2, "max_training_pairs": 20_000}, "VBPR": {"epochs": 1, "max_training_pairs": 20_000}},
-    "medium_quality": {"BPRMF": {"epochs": 5, "max_training_pairs": 100_000}, "VBPR": {"epochs": 3, "max_training_pairs": 50_000}},
-    "best_quality": {"BPRMF": {"epochs": 15, "factors": 64, "max_training_pairs": 200_000}, "VBPR": {"epochs": 8, "id_factors": 48, "max_training_pairs": 100_000}},
-    "multimodal_high_quality": {"BPRMF": {"epochs": 10, "factors": 64, "max_training_pairs": 150_000}, "VBPR": {"epochs": 6, "id_factors": 48, "max_training_pairs": 100_000}},
+    "fast_training": {"BPRMF": {"epochs": 2}, "VBPR": {"epochs": 1}},
+    "medium_quality": {"BPRMF": {"epochs": 5}, "VBPR": {"epochs": 3}},
+    "best_quality": {"BPRMF": {"epochs": 15, "factors": 64}, "VBPR": {"epochs": 8, "id_factors": 48}},
+    "multimodal_high_quality": {"BPRMF": {"epochs": 10, "factors": 64}, "VBPR": {"epochs": 6, "id_factors": 48}},
 }
 SEARCH_SPACES: dict[str, dict[str, list[Any]]] = {
     "BPRMF": {"factors": [16, 32, 64], "learning_rate": [0.01, 0.03, 0.1]},
@@ -42,13 +42,23 @@ class Columns:
 
 @dataclass(frozen=True)
 class Execution:
-    """history_partitions: buckets of a saved history index. Spark itself decides what is held in memory."""
+    """history_partitions: buckets of a saved history index. mode: "whole" trains every model on all rows; "sampled" gives
+    Popularity exact counts of all rows and the other models a stable sample of users, sample_interactions rows and
+    max_history_per_user of a user at most; "auto" is sampled beyond max_interactions rows. max_catalog_items: the most
+    frequent items of all rows that are ranked in sampled mode."""
 
     history_partitions: int = 256
+    mode: str = "whole"
+    max_interactions: int = 2_000_000
+    sample_interactions: int = 1_000_000
+    max_history_per_user: int = 200
+    max_catalog_items: int = 2_000_000
 
     def __post_init__(self):
-        if self.history_partitions < 1:
-            raise ValueError("history_partitions must be positive")
+        if self.mode not in ("whole", "sampled", "auto"):
+            raise ValueError("mode is whole, sampled or auto")
+        if min(self.history_partitions, self.max_interactions, self.sample_interactions, self.max_history_per_user, self.max_catalog_items) < 1:
+            raise ValueError("limits must be positive")
 
 
 def preset(name: str) -> list[str]:

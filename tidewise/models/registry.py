@@ -7,6 +7,7 @@ recommend(users, seen, k) with (user, item, rank, score), and score(pairs, seen)
 from __future__ import annotations
 
 import inspect
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import partial
@@ -15,10 +16,10 @@ from typing import Any
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import dot
+from ..functions.expressions import dot, norm
 from ..operators import features, history, itemcf
 from ..operators.nearest import top_by_dot
-from .ann import ivf, ivfpq, lsh
+from .ann import graph_search, ivf, ivfpq, lsh
 from .content import late_fusion
 from .factors import FactorModel
 from .graph_models import BM3, DRAGON, FREEDOM, LATTICE, MGCN, MMGCN, LGMRec, LightGCN
@@ -29,9 +30,32 @@ class Data:
     train: DataFrame
     catalog: DataFrame
     blocks: dict[str, DataFrame] = field(default_factory=dict)
+    user_blocks: dict[str, DataFrame] = field(default_factory=dict)
 
 
-class Popularity:
+class Saved:
+    """A model that is tables and settings: `saved` names the attributes that are tables, `kept` those that are plain."""
+
+    saved: tuple[str, ...] = ()
+    kept: tuple[str, ...] = ()
+
+    def tables(self) -> dict[str, DataFrame]:
+        return {name: getattr(self, name) for name in self.saved}
+
+    def settings(self) -> dict[str, Any]:
+        return {name: getattr(self, name) for name in self.kept if hasattr(self, name)}
+
+    @classmethod
+    def revived(cls, tables: dict[str, DataFrame], settings: dict[str, Any]):
+        model = cls.__new__(cls)
+        for name, value in {**settings, **tables}.items():
+            setattr(model, name, value)
+        return model
+
+
+class Popularity(Saved):
+    saved = ("counts",)
+
     def fit(self, data: Data):
         self.counts = history.popularity(data.train)
         return self
@@ -43,7 +67,9 @@ class Popularity:
         return pairs.join(self.counts.select("item", "score"), "item", "left").select("user", "item", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
-class ItemCF:
+class ItemCF(Saved):
+    saved, kept = ("near", "popular"), ("most", "history")
+
     def __init__(self, max_neighbors: int = itemcf.NEIGHBOURS, max_history_per_user: int = itemcf.HISTORY):
         self.most, self.history = max_neighbors, max_history_per_user
 
@@ -59,9 +85,11 @@ class ItemCF:
         return itemcf.score_pairs(pairs, seen, self.near, self.popular)
 
 
-class VectorModel:
+class VectorModel(Saved):
     """Users and items as vectors, ranked by dot product; users without a vector get the popular items."""
 
+    saved = ("counts", "users", "items")
+
     def fit(self, data: Data):
         self.counts = history.popularity(data.train)
         self._vectors(data)
@@ -109,29 +137,57 @@ class VBPR(VectorModel):
 
 
 class MultiModalItemKNN(VectorModel):
-    """ann_backend: None for exact, or ivf, ivfpq or lsh; effective_backend says which ran."""
+    """ann_backend: None for exact, or graph (also named hnsw), ivf, ivfpq or lsh; effective_backend says which ran.
 
-    _ANN = {"ivf": ivf, "ivfpq": ivfpq, "lsh": lsh}
+    A user without a history is known by their own features, where there are some with as many dimensions as items have.
+    """
+
+    _ANN = {"ivf": ivf, "ivfpq": ivfpq, "lsh": lsh, "graph": graph_search}
+    saved, kept = ("counts", "items", "cold"), ("backend", "topk", "effective_backend")
 
     def __init__(self, ann_backend: str | None = None, ann_topk: int = 100):
+        ann_backend = "graph" if ann_backend == "hnsw" else ann_backend
         if ann_backend is not None and ann_backend not in self._ANN:
             raise ValueError(f"no backend {ann_backend!r}; there are {', '.join(self._ANN)}")
         self.backend, self.topk, self.effective_backend = ann_backend, ann_topk, ann_backend or "exact"
 
     def _vectors(self, data: Data) -> None:
-        self.items = features.early_fusion(data.blocks).withColumnRenamed("id", "item").join(data.catalog, "item", "left_semi").persist()
+        fused = features.early_fusion(data.blocks)
+        self.items = fused.withColumnRenamed("id", "item").join(data.catalog, "item", "left_semi").persist()
+        self.cold = data.train.select("user", F.array(F.lit(0.0)).alias("vec")).limit(0)
+        if data.user_blocks:
+            own = features.early_fusion(data.user_blocks).withColumnRenamed("id", "user")
+            sizes = [df.agg(F.max(F.size("vec"))).first()[0] for df in (own, fused)]
+            if sizes[0] != sizes[1]:
+                raise ValueError(f"users have {sizes[0]} feature dimensions and items {sizes[1]}; profiles of users without a history need as many")
+            self.cold = own.where(norm(F.col("vec")) > 0).persist()
 
     def user_vectors(self, seen: DataFrame) -> DataFrame:
-        return features.profiles(seen, self.items.withColumnRenamed("item", "id"))
+        profiles = features.profiles(seen, self.items.withColumnRenamed("item", "id"))
+        return profiles.unionByName(self.cold.join(profiles, "user", "left_anti"))
 
     def _top(self, users: DataFrame, seen: DataFrame, k: int) -> DataFrame:
         if not self.backend:
             return super()._top(users, seen, k)
+        if k > self.topk:
+            warnings.warn(f"{k} items are asked for, but {self.backend} looks at {self.topk} candidates; ann_topk sets how many", UserWarning, stacklevel=3)
         found = self._ANN[self.backend](users, self.items, max(k, self.topk)).join(seen, ["user", "item"], "left_anti")
         return history.top_k(found.drop("rank"), k).select("user", "item", "rank", "score")
 
 
 class MultiModalLateFusionKNN(VectorModel):
+    def tables(self) -> dict[str, DataFrame]:
+        return {"counts": self.counts, "items": self.items, **{f"block{k}": self.blocks[n] for k, n in enumerate(sorted(self.blocks))}}
+
+    def settings(self) -> dict[str, Any]:
+        return {"names": sorted(self.blocks)}
+
+    @classmethod
+    def revived(cls, tables, settings):
+        model = super().revived({n: tables[n] for n in ("counts", "items")}, {})
+        model.blocks = {name: tables[f"block{k}"] for k, name in enumerate(settings["names"])}
+        return model
+
     def _vectors(self, data: Data) -> None:
         if len(data.blocks) < 2:
             raise ValueError("late fusion needs two blocks of features")
@@ -145,6 +201,8 @@ class MultiModalLateFusionKNN(VectorModel):
 class GraphModel(VectorModel):
     """A graph model of the given kind; training ends early with the time limit, and goes on where progress was kept."""
 
+    kept = ("early_stopped", "num_params")
+
     def __init__(self, kind: type, random_state: int = 42, time_limit: float | None = None, progress: str | None = None, **settings):
         self.model = kind(random_state=random_state, time_limit=time_limit, progress=progress, **settings)
 
@@ -158,6 +216,10 @@ class GraphModel(VectorModel):
 GRAPH = {kind.__name__: kind for kind in (LightGCN, FREEDOM, MMGCN, LATTICE, BM3, MGCN, DRAGON, LGMRec)}
 
 
+#: Models that can be written as tables, by name.
+KINDS = {kind.__name__: kind for kind in (Popularity, ItemCF, BPRMF, VBPR, MultiModalItemKNN, MultiModalLateFusionKNN, GraphModel)}
+
+
 @dataclass(frozen=True)
 class Spec:
     name: str

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..models.ann import ivf, ivfpq, lsh, recall
+from ..models.ann import graph_search, ivf, ivfpq, lsh, recall
 from ..models.factors import FactorModel
 from ..models.graph_models import BM3, DRAGON, FREEDOM, LATTICE, MGCN, MMGCN, LGMRec, LightGCN
 from ..models.graph_training import behaviour_guidance
@@ -65,12 +65,25 @@ def ann_lsh_topk(spark, d):
     return _ann(lsh, spark, d)
 
 
+@query
+def ann_graph_topk(spark, d):
+    return _ann(graph_search, spark, d)
+
+
+@query
+def ann_graph_distances(spark, d):
+    """How many vectors a graph search looks at, beside how many there are."""
+    vectors = _vectors(spark, d)
+    looked = graph_search(vectors.withColumnRenamed("id", "user"), vectors.withColumnRenamed("id", "item"), 10, report=True)
+    return looked.select("user", "distances", F.lit(vectors.count()).alias("items"))
+
+
 @query
 def ann_recall_vs_exact(spark, d):
     vectors = _vectors(spark, d)
     exact = top_by_dot(vectors.withColumnRenamed("id", "user"), vectors.withColumnRenamed("id", "item"), 10)
-    rows = [recall(exact, _ann(kind, spark, d)).withColumn("backend", F.lit(name)) for name, kind in (("ivf", ivf), ("ivfpq", ivfpq), ("lsh", lsh))]
-    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+    rows = [recall(exact, _ann(kind, spark, d)).withColumn("backend", F.lit(name)) for name, kind in (("graph", graph_search), ("ivf", ivf), ("ivfpq", ivfpq), ("lsh", lsh))]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
 
 
 def _graph(spark, d, kind, **settings):

@@ -47,7 +47,8 @@ class Folder:
 
     def write(self, name: str, text: str) -> None:
         """The whole text at once: written beside, then renamed over the old one."""
-        beside = f".{name.replace('/', '-')}-{uuid.uuid4().hex}"
+        above, _, last = name.rpartition("/")
+        beside = f"{above}/.{last}-{uuid.uuid4().hex}".lstrip("/")
         self._put(beside, text, False)
         old = f"{beside}-old"
         if self.exists(name):
@@ -85,6 +86,10 @@ class Folder:
     def delete(self, name: str) -> None:
         self._fs.delete(self._at(name), True)
 
+    def files(self, name: str) -> list[list]:
+        """Names and lengths of the data files of a folder, in order."""
+        return sorted([s.getPath().getName(), s.getLen()] for s in self._fs.listStatus(self._at(name)) if s.isFile() and s.getPath().getName().startswith("part-")) if self.exists(name) else []
+
     def table(self, name: str, schema=None) -> DataFrame:
         reader = self.spark.read
         return (reader.schema(schema) if schema is not None else reader).parquet(f"{self.path}/{name}")

@@ -75,16 +75,23 @@ def _replace(df: DataFrame, target: str, compression: str) -> None:
     spark, other = df.sparkSession, f"{target}.{uuid.uuid4().hex}.tmp"
     df.write.option("compression", compression).parquet(other)
     fs, to = _fs(spark, target)
-    if fs.exists(to):
-        fs.delete(to, True)
+    old = _fs(spark, f"{target}.{uuid.uuid4().hex}.old")[1]
+    had = fs.exists(to) and fs.rename(to, old)
     if not fs.rename(_fs(spark, other)[1], to):
+        if had:  # the table that was there comes back
+            fs.rename(old, to)
         raise OSError(f"{other} can't be renamed to {target}")
+    if had:
+        fs.delete(old, True)
 
 
 def write_recommendations(recs: DataFrame, path: str | Path, compression: str = "zstd") -> str:
-    """The recommendations as one Parquet table; raises where there are none."""
+    """The recommendations as one Parquet table, or with a path that ends in .csv as CSV files; raises where there are none."""
     if recs.isEmpty():
         raise ValueError("no recommendations were made")
+    if str(path).endswith(".csv"):
+        recs.write.mode("overwrite").option("header", True).csv(str(path))
+        return str(path)
     _replace(recs, str(path), compression)
     return str(path)
 
