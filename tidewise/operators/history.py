@@ -46,24 +46,26 @@ def popular_unseen(users: DataFrame, counts: DataFrame, seen: DataFrame, k: int)
     """(user, item, score, rank): the k most popular items that a user hasn't seen.
 
     A user with s seen items finds k unseen ones among the first k + s of the ranking. The first HEAD places are one row,
-    broadcast as an array, so users with shorter histories meet it where they are; the few others meet the first k + s places
-    by rank, each place dealt out in PARTS.
+    broadcast as an array, from which shorter histories are taken away as sets; the few other users meet the first k + s
+    places by their number, each place dealt out in PARTS. Places are numbered by counts, so no task sorts the catalog.
     """
     order = [F.desc("n"), F.col("item").cast("string")]
     named = counts.select("n", "item", "score")
-    head = named.orderBy(*order).limit(HEAD).agg(F.collect_list(F.struct("n", F.col("item").cast("string").alias("name"), "item", "score")).alias("all"))
+    top = named.orderBy(*order).limit(HEAD)
+    head = top.agg(F.collect_list(F.struct("n", F.col("item").cast("string").alias("name"), "item")).alias("all"))
     sorted_head = F.array_sort("all", lambda a, b: F.when(a["n"] != b["n"], F.when(a["n"] > b["n"], -1).otherwise(1)).when(a["name"] < b["name"], -1).when(a["name"] > b["name"], 1).otherwise(0))
-    head = head.select(F.transform(sorted_head, lambda x: F.struct(x["item"].alias("item"), x["score"].alias("score"))).alias("head"))
+    head = head.select(F.transform(sorted_head, lambda x: x["item"]).alias("head"))
     need = users.select("user").distinct().join(seen.groupBy("user").agg(F.count(F.lit(1)).alias("s")), "user", "left").select("user", (F.coalesce("s", F.lit(0)) + k).alias("need"))
     own = seen.join(need.where(F.col("need") <= HEAD).select("user"), "user", "left_semi").groupBy("user").agg(F.collect_set("item").alias("own"))
     short = need.where(F.col("need") <= HEAD).join(own, "user", "left").crossJoin(F.broadcast(head))
     first = F.slice(F.col("head"), F.lit(1), F.col("need").cast("int"))
-    left = F.slice(F.filter(first, lambda x: F.col("own").isNull() | ~F.array_contains("own", x["item"])), 1, k)
-    found = short.select("user", F.posexplode(left).alias("rank", "x")).select("user", "x.item", "x.score", (F.col("rank") + 1).alias("rank"))
+    left = F.slice(F.when(F.col("own").isNull(), first).otherwise(F.array_except(first, F.col("own"))), 1, k)
+    places = short.select("user", F.posexplode(left).alias("rank", "item"))
+    found = places.join(F.broadcast(top.select("item", "score")), "item").select("user", "item", "score", (F.col("rank") + 1).alias("rank"))  # HEAD rows
     long = need.where(F.col("need") > HEAD)
-    if long.isEmpty():
-        return found
-    place = named.withColumn("place", F.row_number().over(Window.orderBy(*order))).limit(long.agg(F.max("need")).first()[0])
+    levels = named.groupBy("n").agg(F.count(F.lit(1)).alias("of_n"))
+    levels = levels.select("n", (F.sum("of_n").over(Window.orderBy(F.desc("n"))) - F.col("of_n")).alias("before"))  # one row for each count
+    place = named.join(levels, "n").withColumn("place", F.col("before") + F.row_number().over(Window.partitionBy("n").orderBy(F.col("item").cast("string"))))
     place = place.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
     some = long.select("user", F.pmod(F.xxhash64("user"), F.lit(PARTS)).cast("int").alias("part"), F.explode(F.sequence(F.lit(1), F.col("need").cast("int"))).alias("place"))
     return found.unionByName(top_k(without_seen(some.join(place, ["place", "part"]).select("user", "item", "score"), seen), k))

@@ -14,7 +14,23 @@ from pyspark.sql import functions as F
 
 from .history import top_k
 
-BLOCK = 4096
+#: Rows of a block, and rows whose scores a task holds at once.
+BLOCK, INNER = 4096, 512
+
+
+def _largest(scores: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and score of the most[r] largest scores of each row r, of equal ones those of the first columns."""
+    width, top = scores.shape[1], int(most.max())
+    if top < width:
+        edge = np.partition(scores, width - top, axis=1)[:, width - top]
+        r, c = np.nonzero(scores >= edge[:, None])
+    else:
+        r, c = (x.ravel() for x in np.indices(scores.shape))
+    s = scores[r, c]
+    order = np.lexsort((c, -s, r))
+    r, c, s = r[order], c[order], s[order]
+    keep = np.arange(len(r)) - np.searchsorted(r, r, "left") < most[r]
+    return r[keep], c[keep], s[keep]
 
 
 def _packed(df: DataFrame, key: str, blocks: int, name: str) -> DataFrame:
@@ -51,17 +67,16 @@ def top_by_dot(queries: DataFrame, items: DataFrame, k: int, *, digits: int = 6,
                 (users, a, extra), (ids, b, _) = unpacked(left.values), unpacked(right.values)
                 if not len(users) or not len(ids):
                     continue
-                scores = np.round(a @ b.T, digits) + 0.0
-                order_of_ties = np.argsort(np.argsort(np.array(ids.cast("string").to_pylist()), kind="stable"), kind="stable")
-                rows, columns = [], []
-                for r, (row, s) in enumerate(zip(scores, extra)):
-                    most = min(len(row), k + int(exclude_self) + int(s))
-                    some = np.flatnonzero(row >= np.partition(row, len(row) - most)[len(row) - most])  # with all ties at the edge
-                    some = some[np.lexsort((order_of_ties[some], -row[some]))][:most]
-                    rows.append(np.full(len(some), r))
-                    columns.append(some)
-                r, c = np.concatenate(rows), np.concatenate(columns)
-                yield pa.RecordBatch.from_arrays([users.take(pa.array(r)), ids.take(pa.array(c)), pa.array(scores[r, c])], names=["user", "item", "score"])
+                order = np.argsort(np.array(ids.cast("string").to_pylist()), kind="stable")  # ties by name: columns in its order
+                b = b[order]
+                most = np.minimum(len(ids), k + int(exclude_self) + extra.astype(np.int64))
+                level = np.ceil(np.log2(most)).astype(int)  # rows that keep about as many go together
+                for one in np.unique(level):
+                    every = np.flatnonzero(level == one)
+                    for lo in range(0, len(every), INNER):
+                        rows = every[lo : lo + INNER]
+                        r, c, score = _largest(np.round(a[rows] @ b.T, digits) + 0.0, most[rows])
+                        yield pa.RecordBatch.from_arrays([users.take(pa.array(rows[r])), ids.take(pa.array(order[c])), pa.array(score)], names=["user", "item", "score"])
 
     found = pairs.select("qb_rows", "ib_rows").mapInArrow(best, f"user {q_kind}, item {i_kind}, score double")
     if exclude_self:
