@@ -177,7 +177,8 @@ def test_expressions(spark):
 
 def test_configuration():
     assert resolve_models("auto", "fast_training") == ["Popularity", "ItemCF"] and resolve_models(["A", "A"], "x") == ["A"]
-    assert model_settings("fast_training", {"BPRMF": {"epochs": 9}})["BPRMF"] == {"epochs": 9, "max_training_pairs": 20_000}
+    assert model_settings("fast_training", {"BPRMF": {"epochs": 9}})["BPRMF"] == {"epochs": 9}  # a cap on pairs is set by the caller alone
+    assert model_settings("fast_training", {"BPRMF": {"max_training_pairs": 5}})["BPRMF"] == {"epochs": 2, "max_training_pairs": 5}
     for bad in (lambda: resolve_models([], "x"), lambda: resolve_models(None, "x"), lambda: Execution(history_partitions=0)):
         with pytest.raises(ValueError):
             bad()
@@ -194,3 +195,65 @@ def test_parzen_search_visits_all_and_prefers_the_good():
     assert np.mean([search.suggest()["a"] == 2 for _ in range(50)]) > 0.5
     with pytest.raises(ValueError):
         ParzenSearch({"a": []})
+
+
+def test_scores_that_are_no_numbers_are_dropped(spark):
+    from tidewise.operators import history
+
+    rows = [("u", "a", float("nan")), ("u", "b", 1.0), ("u", "c", float("-inf")), ("u", "d", 2.0)]
+    found = history.top_k(spark.createDataFrame(rows, "user string, item string, score double"), 3)
+    assert [(r["item"], r["rank"]) for r in found.orderBy("rank").collect()] == [("d", 1), ("b", 2)]
+
+
+def test_mean_and_deviation_over_seeds(spark):
+    from tidewise.operators.metrics import over_seeds
+
+    runs = spark.createDataFrame([("A", 1, 0.2), ("A", 2, 0.4), ("B", 1, 0.5)], "model string, seed int, recall double")
+    found = {r["model"]: (r["seeds"], r["recall_mean"], r["recall_deviation"]) for r in over_seeds(runs, ["recall"]).collect()}
+    assert found["A"] == pytest.approx((2, 0.3, 0.1)) and found["B"] == (1, 0.5, 0.0)
+
+
+def test_stacking_weights_by_plain_descent(spark):
+    """The weights of the query's own rows, by a loop over single rows."""
+    import math
+
+    from tidewise.operators import fusion
+    from tidewise.plans.model_queries import both_recs
+
+    recs, truth = both_recs(spark, "/root/testdata/sf0.001")
+    names = ["Popularity", "ItemCF"]
+    found = fusion.fit_weights(recs, truth, names)
+    rows = [(r["Popularity"], r["ItemCF"], 1.0, r["label"]) for r in fusion.stacking_features(recs, truth, names).collect()]
+    w = [0.0, 0.0, 0.0]
+    for _ in range(200):
+        g = [1e-3 * x for x in w]
+        for *x, y in rows:
+            p = 1 / (1 + math.exp(-sum(a * b for a, b in zip(x, w))))
+            g = [a + (p - y) * b / len(rows) for a, b in zip(g, x)]
+        w = [a - 0.1 * b for a, b in zip(w, g)]
+    positive = [max(x, 0) for x in w[:2]]
+    want = [x / sum(positive) for x in positive] if sum(positive) else [0.5, 0.5]
+    assert [found[n] for n in names] == pytest.approx(want, abs=1e-9)
+
+
+def test_popular_unseen_for_long_histories_and_short_ones(spark, monkeypatch):
+    from tidewise.operators import history
+
+    monkeypatch.setattr(history, "HEAD", 4)
+    counts = spark.createDataFrame([(f"i{k}", 10 - k // 2, (10 - k // 2) / 10) for k in range(12)], "item string, n long, score double")
+    seen = {"none": [], "one": ["i0"], "many": [f"i{k}" for k in range(1, 9)], "all": [f"i{k}" for k in range(12)]}
+    pairs = spark.createDataFrame([(u, i) for u, own in seen.items() for i in own], "user string, item string")
+    users = spark.createDataFrame([(u,) for u in seen], "user string")
+    got = {}
+    for r in history.popular_unseen(users, counts, pairs, 3).orderBy("user", "rank").collect():
+        got.setdefault(r["user"], []).append(r["item"])
+    order = sorted((f"i{k}" for k in range(12)), key=lambda i: (-(10 - int(i[1:]) // 2), i))
+    assert got == {u: [i for i in order if i not in own][:3] for u, own in seen.items() if len(own) < 12}
+
+
+def test_places_of_one_hot_columns(spark):
+    from tidewise.operators import features
+
+    df = spark.createDataFrame([(1, "b"), (2, None), (3, "a"), (4, "b")], "id long, c string")
+    assert {r["id"]: r["place"] for r in features.one_hot_places(df, "id", "c").collect()} == {2: 0, 3: 1, 1: 2, 4: 2}
+    assert features.categorical(df.limit(0), "id", ["c"]).count() == 0

@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 from datetime import datetime, timedelta
 from pathlib import Path
 
@@ -76,7 +77,8 @@ def test_predict_and_evaluate(fitted, clustered):
     assert report.leaderboard["model"].tolist() == ["Popularity"]
 
 
-def test_save_and_load(fitted, spark, tmp_path):
+def test_save_and_load(spark, clustered, tmp_path):
+    fitted = AutoRecommender(spark, eval_metrics=["recall@5"]).fit(clustered, models=["Popularity"], refit_full=False)
     for _ in range(2):
         last = fitted.save(tmp_path / "a", k=5, max_generations=2)
     saved = SavedRecommender(spark, tmp_path / "a")
@@ -196,6 +198,10 @@ def test_history_index_reads_only_the_users_buckets(spark, clustered, tmp_path):
     assert history_index.build(df, str(tmp_path), 8) == path
     some = spark.createDataFrame([("u3",), ("u5",)], "user string")
     got = history_index.lookup(spark, path, some)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    mine = {r[0] for r in some.select(history.bucket(F.col("user"), 8)).collect()}
+    (filters,) = re.findall(r"PartitionFilters: \[([^\]]*)\]", plan)
+    assert len(mine) < 8 and "bucket#" in filters and all(str(b) in filters for b in mine)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, history.seen_pairs(df).where("user in ('u3', 'u5')").collect()))
 
 

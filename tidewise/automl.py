@@ -75,7 +75,8 @@ class AutoRecommender:
     def _interactions(self, value) -> DataFrame:
         """(user, item, ts, and a key that tells rows apart as well as columns can)."""
         df = validate.interactions(load(self.spark, value), self.columns)
-        key = F.xxhash64(*[F.col(c) for c in self.columns.required()])
+        # without times the last row is the one that comes last in the input
+        key = F.xxhash64(*[F.col(c) for c in self.columns.required()]) if self.columns.timestamp else F.monotonically_increasing_id()
         ts = F.col(self.columns.timestamp) if self.columns.timestamp else F.lit(None).cast("timestamp")
         return df.select(F.col(self.columns.user).alias("user"), F.col(self.columns.item).alias("item"), ts.alias("ts"), key.alias("key"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import md5_number, norm, text_tokens, unit
@@ -10,21 +10,34 @@ from ..functions.expressions import md5_number, norm, text_tokens, unit
 MISSING, TEXT_DIMS = "__missing__", 128
 
 
+def vocabulary(df: DataFrame, column: str) -> DataFrame:
+    """(value, place): a column's distinct values in order, null as a value of its own, numbered from 0."""
+    value = F.coalesce(F.col(column).cast("string"), F.lit(MISSING)).alias("value")
+    return df.select(value).distinct().withColumn("place", (F.row_number().over(Window.orderBy("value")) - 1).cast("int"))  # one row for each value
+
+
+def one_hot_places(df: DataFrame, key: str, column: str) -> DataFrame:
+    """(id, place): the sparse form of a one-hot column, by a join with its vocabulary."""
+    value = F.coalesce(F.col(column).cast("string"), F.lit(MISSING)).alias("value")
+    return df.select(F.col(key).alias("id"), value).join(vocabulary(df, column), "value").select("id", "place")
+
+
+def _dense(place: Column, size: int) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda at: (at == place).cast("double"))
+
+
 def categorical(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """One-hot over each column's sorted values, null as a value of its own; columns side by side.
 
-    The vocabularies become array literals of the plan, so this is for columns with few values.
+    Values meet their places in joins; the driver learns how many there are, not which.
     """
-    parts = []
-    for c in columns:
-        value = F.coalesce(F.col(c).cast("string"), F.lit(MISSING))
-        words = [r[0] for r in df.select(value.alias("v")).distinct().orderBy("v").collect()]
-        parts.append(_one_hot(value, words))
-    return df.select(F.col(key).alias("id"), unit(F.concat(*parts)).alias("vec"))
-
-
-def _one_hot(value, words: list[str]):
-    return F.transform(F.array(*map(F.lit, words)), lambda w: (w == value).cast("double"))
+    out, parts = df.select(F.col(key).alias("id")), []
+    for k, c in enumerate(columns):
+        words = vocabulary(df, c)
+        size = words.count()
+        out = out.join(one_hot_places(df, key, c).withColumnRenamed("place", f"p{k}"), "id")
+        parts.append(_dense(F.col(f"p{k}"), max(size, 1)))
+    return out.select("id", unit(F.concat(*parts)).alias("vec"))
 
 
 def numerical(df: DataFrame, key: str, columns: list[str]) -> DataFrame:

@@ -34,7 +34,9 @@ def ranked(df: DataFrame, by: Column, within: list[str], tie: str = "item") -> C
 
 
 def top_k(scores: DataFrame, k: int, within: tuple[str, ...] = ("user",)) -> DataFrame:
-    """The k best scores of each group with their rank. Spark cuts each task's groups to k rows before the shuffle."""
+    """The k best scores of each group with their rank; NaN and minus infinity are no scores. Spark cuts each task's groups
+    to k rows before the shuffle."""
+    scores = scores.where(~F.isnan("score") & (F.col("score") > float("-inf")))
     return scores.withColumn("rank", ranked(scores, F.col("score"), list(within))).where(F.col("rank") <= k)
 
 

@@ -101,3 +101,9 @@ def evaluate(recs: DataFrame, truth: DataFrame, metrics: list[str], catalog_size
     sums = rows.groupBy("model").agg(share.alias("coverage"), *[F.coalesce(F.sum(f"`{n}`"), F.lit(0.0)).alias(n) for n in names.values()]).crossJoin(F.broadcast(users))  # one row
     order = [names[w] for w in wanted]
     return sums.select("model", *[F.try_divide(F.col(f"`{n}`"), "users").alias(n) for n in order], "coverage").orderBy(F.desc(f"`{order[0]}`"), "model")
+
+
+def over_seeds(runs: DataFrame, names: list[str]) -> DataFrame:
+    """(model, seeds, <name>_mean, <name>_deviation) of runs (model, seed, <name>, ...); the deviation is that of all runs."""
+    values = [x for n in names for x in (F.avg(f"`{n}`").alias(f"{n}_mean"), F.stddev_pop(f"`{n}`").alias(f"{n}_deviation"))]
+    return runs.groupBy("model").agg(F.countDistinct("seed").alias("seeds"), *values)

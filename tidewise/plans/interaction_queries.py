@@ -93,8 +93,8 @@ def split_temporal_loo(spark, d):
     return _marked(splits.leave_last_out(interactions_a(spark, d), "user", ["ts", *KEYS_A]))
 
 
-@query(f"""WITH {A}, m AS (SELECT *, {_LAST} AS held FROM a), r AS (SELECT * EXCLUDE (held) FROM m WHERE NOT held), m2 AS (SELECT *, {_LAST} AS held FROM r)
-SELECT uid, iid, ts, l_orderkey, l_linenumber, l_suppkey, CASE WHEN held THEN 'validation' ELSE 'train' END AS part FROM m2 UNION ALL SELECT uid, iid, ts, l_orderkey, l_linenumber, l_suppkey, 'test' FROM m WHERE held""")
+@query(f"""WITH {A}, m AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY uid) AS n, row_number() OVER (PARTITION BY uid ORDER BY ts DESC, l_orderkey DESC, l_linenumber DESC, iid DESC, l_suppkey DESC) AS r FROM a)
+SELECT uid, iid, ts, l_orderkey, l_linenumber, l_suppkey, CASE WHEN n >= 2 AND r = 1 THEN 'test' WHEN n >= 3 AND r = 2 THEN 'validation' ELSE 'train' END AS part FROM m""")
 def split_temporal_three_way(spark, d):
     parts = splits.three_way(interactions_a(spark, d), "temporal", user="user", timestamp="ts", keys=KEYS_A)
     named = [p.withColumn("part", F.lit(n)) for p, n in zip(parts, ("train", "validation", "test"))]
@@ -189,3 +189,33 @@ def user_hash_sample_capped(spark, d):
 @query(f"WITH {A} SELECT {_hash_sql('uid')} % 1000 AS slot, count(DISTINCT uid) AS n FROM a GROUP BY 1")
 def stable_user_hash(spark, d):
     return interactions_a(spark, d).groupBy((md5_number(F.col("user")) % 1000).alias("slot")).agg(F.countDistinct("user").alias("n"))
+
+
+@query(f"WITH {A} SELECT DISTINCT uid, iid FROM a WHERE uid % 20 = 0")
+def history_index_lookup(spark, d):
+    """The histories of some users out of an index on disk, of which only their buckets are read."""
+    from ..sources import history_index
+    from ..sources.shared import shared_folder
+
+    path = history_index.build(interactions_a(spark, d), f"{shared_folder(spark)}/tidewise-index", 64)
+    wanted = table(spark, d, "customer").where("c_custkey % 20 = 0").select(F.col("c_custkey").alias("user"))
+    return history_index.lookup(spark, path, wanted).withColumnsRenamed({"user": "uid", "item": "iid"})
+
+
+@query(f"""WITH {A}, s AS (SELECT unnest([1, 2, 3]) AS seed),
+ m AS (SELECT seed, a.*, count(*) OVER (PARTITION BY seed, uid) >= 2 AND row_number() OVER (PARTITION BY seed, uid ORDER BY md5(concat_ws('|', seed::VARCHAR, uid, l_orderkey, l_linenumber, iid, l_suppkey)), l_orderkey, l_linenumber, iid, l_suppkey) = 1 AS held FROM a, s),
+ c AS (SELECT seed, iid, count(*) AS n FROM m WHERE NOT held GROUP BY 1, 2), p AS (SELECT seed, iid FROM c QUALIFY row_number() OVER (PARTITION BY seed ORDER BY n DESC, iid::VARCHAR) <= 100),
+ r AS (SELECT m.seed, avg(CASE WHEN p.iid IS NULL THEN 0.0 ELSE 1.0 END) AS value FROM m LEFT JOIN p ON p.seed = m.seed AND p.iid = m.iid WHERE held GROUP BY m.seed)
+SELECT 'Popularity' AS model, count(*) AS seeds, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS deviation FROM r""")
+def hit_rate_over_seeds(spark, d):
+    """Mean and deviation, over three random holdouts, of the share of held-out rows among the hundred most popular parts."""
+    from ..operators.metrics import over_seeds
+
+    runs, rows = None, interactions_a(spark, d)
+    for seed in (1, 2, 3):
+        marked = splits.leave_random_out(rows, "user", KEYS_A, seed)
+        head = history.heavy_hitters(marked.where("not held"), 100).select("item", F.lit(1.0).alias("hit"))
+        share = marked.where("held").join(F.broadcast(head), "item", "left").agg(F.avg(F.coalesce("hit", F.lit(0.0))).alias("value"))  # 100 rows
+        run = share.select(F.lit("Popularity").alias("model"), F.lit(seed).alias("seed"), "value")
+        runs = run if runs is None else runs.unionByName(run)
+    return over_seeds(runs, ["value"]).select("model", "seeds", F.round("value_mean", 6).alias("mean"), F.round("value_deviation", 6).alias("deviation"))

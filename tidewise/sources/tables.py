@@ -109,17 +109,29 @@ def file_fingerprint(spark: SparkSession, path: str) -> str:
     return hashlib.sha256("|".join(digests).encode()).hexdigest()
 
 
+def listing_key(spark: SparkSession, path: str) -> str:
+    """A digest of the names, lengths and times of a file, or of a folder's files; nothing of them is read."""
+    fs, p = _fs(spark, path)
+    found, files = [], fs.listFiles(p, True)
+    while files.hasNext():
+        s = files.next()
+        found.append((s.getPath().toString(), s.getLen(), s.getModificationTime()))
+    return hashlib.sha256(repr(sorted(found)).encode()).hexdigest()
+
+
 class Cache:
-    """Tables kept as Parquet under a folder, by a key of their content."""
+    """Tables kept as Parquet under a folder: a path's by its files' names, lengths and times, a frame's by its content."""
 
     def __init__(self, spark: SparkSession, folder: str | Path):
         self.spark, self.folder = spark, str(folder)
 
     def table(self, value, name: str) -> DataFrame:
-        df = load(self.spark, value)
-        path = f"{self.folder}/{name}-{frame_fingerprint(df)[:16]}.parquet"
+        of_path = isinstance(value, (str, Path))
+        df = None if of_path else load(self.spark, value)
+        key = listing_key(self.spark, str(value)) if of_path else frame_fingerprint(df)
+        path = f"{self.folder}/{name}-{key[:16]}.parquet"
         if not exists(self.spark, path):
-            _replace(df, path, "zstd")
+            _replace(load(self.spark, value) if of_path else df, path, "zstd")
         return self.spark.read.parquet(path)
 
 
