@@ -301,3 +301,11 @@ def test_asking_for_more_than_the_candidates_warns(spark, several):
     with warnings.catch_warnings():
         warnings.simplefilter("error")
         assert model._top(model.user_vectors(seen), seen, 2).count() <= 2
+
+
+def test_seen_items_are_candidates_where_they_are_not_excluded(spark, several):
+    own = {r["item"] for r in several.seen.where("user = 'u1'").collect()}
+    got = several.recommend(["u1"], k=18, models="all", exclude_seen=False).toPandas()
+    for name in ("Popularity", "ItemCF", "BPRMF", "MultiModalItemKNN"):
+        items = got[got["model"] == name]["item_id"].tolist()
+        assert own <= set(items) and len(items) == len(set(items)) == 18

@@ -209,6 +209,8 @@ class AutoRecommender:
         missing = [{"model": n, **{k: v for k, v in s.items() if k != "error"}, "is_best": False} for n, s in self.stats.items() if s["status"] != "ok"]
         self.summary = {"interactions": self.n_rows, "sampled_interactions": self.n_sampled, "execution_mode": "sampled" if self.sampled else "whole", "catalog_items": self.catalog_size, "catalog_truncated": self.catalog_truncated, "time_limit": time_limit, "split": split, "model_best": self.model_best, "refit_full": refit_full}
         self.report = Report(pd.concat([board, pd.DataFrame(missing)], ignore_index=True) if missing else board, {"split": split, "scored_on": "test" if self.has_test else "validation", "seed": self.seed, "columns": vars(self.columns), "models": self.stats, "weights": self.weights, "refit": refitted, **self.summary})
+        for df in (*val_recs.values(), *test_recs.values(), seen, train, val, test):  # nothing reads them any more
+            df.unpersist()
         self.seen = history.seen_pairs(deployed).persist()
         self.train_rows = deployed
         return self
@@ -333,11 +335,7 @@ class AutoRecommender:
         parts = []
         for name in list(self.models) if fusion.FUSED in names else names:
             model = self.models[name]
-            if exclude_seen:
-                recs = model.recommend(wanted, seen, k)
-            else:  # a history is a profile all the same, and its items are candidates
-                pairs = wanted.crossJoin(self.catalog)
-                recs = history.top_k(model.score(pairs, seen), k)
+            recs = model.recommend(wanted, seen, k) if exclude_seen else model.recommend(wanted, seen, k, exclude_seen=False)
             parts.append(recs.select("user", "item", "rank", "score", F.lit(name).alias("model")))
         out = _union(parts)
         if fusion.FUSED in names:

@@ -1,7 +1,8 @@
 """The models by name. Each has fit(data) and scores users against the catalog as tables.
 
 A model gets Data: train (user, item, ts), catalog (item), blocks {modality: (id, vec)}. It offers
-recommend(users, seen, k) with (user, item, rank, score), and score(pairs, seen) with (user, item, score).
+recommend(users, seen, k) with (user, item, rank, score), and score(pairs, seen) with (user, item, score). With a fourth
+parameter exclude_seen, seen may be only a profile, and its items are candidates too.
 """
 
 from __future__ import annotations
@@ -60,8 +61,8 @@ class Popularity(Saved):
         self.counts = history.popularity(data.train)
         return self
 
-    def recommend(self, users: DataFrame, seen: DataFrame, k: int) -> DataFrame:
-        return history.popular_unseen(users, self.counts, seen, k).select("user", "item", "rank", "score")
+    def recommend(self, users: DataFrame, seen: DataFrame, k: int, exclude_seen: bool = True) -> DataFrame:
+        return history.popular_unseen(users, self.counts, seen if exclude_seen else seen.limit(0), k).select("user", "item", "rank", "score")
 
     def score(self, pairs: DataFrame, seen: DataFrame) -> DataFrame:
         return pairs.join(self.counts.select("item", "score"), "item", "left").select("user", "item", F.coalesce("score", F.lit(0.0)).alias("score"))
@@ -78,8 +79,8 @@ class ItemCF(Saved):
         self.near, self.popular = itemcf.neighbours(capped, self.most).persist(), itemcf.history_popularity(capped)
         return self
 
-    def recommend(self, users: DataFrame, seen: DataFrame, k: int) -> DataFrame:
-        return itemcf.recommend(users, seen, self.near, self.popular, k).select("user", "item", "rank", "score")
+    def recommend(self, users: DataFrame, seen: DataFrame, k: int, exclude_seen: bool = True) -> DataFrame:
+        return itemcf.recommend(users, seen, self.near, self.popular, k, exclude=seen if exclude_seen else seen.limit(0)).select("user", "item", "rank", "score")
 
     def score(self, pairs: DataFrame, seen: DataFrame) -> DataFrame:
         return itemcf.score_pairs(pairs, seen, self.near, self.popular)
@@ -104,10 +105,10 @@ class VectorModel(Saved):
     def _top(self, users: DataFrame, seen: DataFrame, k: int) -> DataFrame:
         return top_by_dot(users, self.items, k, digits=9, spare=seen).select("user", "item", "rank", "score")
 
-    def recommend(self, users: DataFrame, seen: DataFrame, k: int) -> DataFrame:
+    def recommend(self, users: DataFrame, seen: DataFrame, k: int, exclude_seen: bool = True) -> DataFrame:
         wanted = users.select("user").distinct()
-        known = self.user_vectors(seen).join(wanted, "user", "left_semi").persist()
-        mine = seen.join(wanted, "user", "left_semi")
+        known = self.user_vectors(seen).join(wanted, "user", "left_semi")
+        mine = seen.join(wanted, "user", "left_semi") if exclude_seen else seen.limit(0)
         cold = wanted.join(known, "user", "left_anti")
         return self._top(known, mine, k).unionByName(history.popular_unseen(cold, self.counts, mine, k).select("user", "item", "rank", "score"))
 

@@ -51,14 +51,18 @@ def history_popularity(history: DataFrame) -> DataFrame:
     return popularity(history.select("user", "item"))
 
 
-def recommend(users: DataFrame, seen: DataFrame, near: DataFrame, popular: DataFrame, k: int, digits: int | None = None) -> DataFrame:
-    """The k best unseen candidates; where they are fewer, the most popular unseen others with PRIOR times their popularity."""
+def recommend(users: DataFrame, seen: DataFrame, near: DataFrame, popular: DataFrame, k: int, digits: int | None = None, exclude: DataFrame | None = None) -> DataFrame:
+    """The k best unseen candidates; where they are fewer, the most popular unseen others with PRIOR times their popularity.
+
+    exclude: the pairs (user, item) to leave out, if they aren't the seen ones.
+    """
     from .history import popular_unseen
 
     mine = users.select("user").distinct()
-    found = top_k(without_seen(candidate_scores(seen.join(mine, "user", "left_semi"), near, digits), seen), k).select("user", "item", "score", F.lit(0).alias("fill"))
+    exclude = seen if exclude is None else exclude
+    found = top_k(without_seen(candidate_scores(seen.join(mine, "user", "left_semi"), near, digits), exclude), k).select("user", "item", "score", F.lit(0).alias("fill"))
     # the first k popular unseen items hold k - c items beyond the c candidates found, for any c
-    more = popular_unseen(mine, popular, seen, k).join(found.select("user", "item"), ["user", "item"], "left_anti").select("user", "item", (F.col("score") * PRIOR).alias("score"), F.lit(1).alias("fill"))
+    more = popular_unseen(mine, popular, exclude, k).join(found.select("user", "item"), ["user", "item"], "left_anti").select("user", "item", (F.col("score") * PRIOR).alias("score"), F.lit(1).alias("fill"))
     w = Window.partitionBy("user").orderBy("fill", F.desc("score"), F.col("item").cast("string"))
     return found.unionByName(more).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("fill")
 
