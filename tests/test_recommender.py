@@ -155,6 +155,36 @@ def test_graph_gradient_by_finite_differences(spark):
     assert abs(inner(graph.propagate(edges, x), g) - inner(graph.propagate(back, g), x)) < 1e-12
 
 
+@pytest.mark.parametrize("with_content", [False, True])
+def test_a_ranking_step_is_the_loss_s_gradient(with_content):
+    """One pair, one step: every change is the rate times minus the derivative of log(1 + exp(-x))."""
+    from tidewise.models.factors import _steps
+
+    rng, d, c, dims, rate = np.random.default_rng(4), 3, 2 if with_content else 0, 5, 1e-3
+    width = max(d + 1, c)
+    start, content = rng.normal(0, 0.5, (2 + (dims if with_content else 0), width)), rng.normal(size=(2, dims)) if with_content else None
+    user = rng.normal(0, 0.5, d + c)
+
+    def loss(u, table):
+        x = u[:d] @ (table[0, :d] - table[1, :d]) + table[0, d] - table[1, d]
+        if with_content:
+            x += u[d:] @ ((content[0] - content[1]) @ table[2:, :c])
+        return np.logaddexp(0, -x)
+
+    pairs = pd.DataFrame({"user": ["u"], "idx": [0], "taught": [True]})
+    _, u, delta, _, told, seen = _steps(pairs, {"u": user}, start, content, factors=d, content_factors=c, rate=rate, reg=0.0, batch=8, seed=1)
+    assert seen == 1 and told == pytest.approx(loss(user, start))
+    eps = 1e-6
+    for k in range(d + c):
+        step = np.eye(d + c)[k] * eps
+        assert (u[0] - user)[k] / rate == pytest.approx(-(loss(user + step, start) - loss(user - step, start)) / (2 * eps), abs=1e-5)
+    for at in np.ndindex(start.shape):
+        step = np.zeros_like(start)
+        step[at] = eps
+        # the content map moves after the user's content factors did, so to first order in the rate
+        assert delta[at] / rate == pytest.approx(-(loss(user, start + step) - loss(user, start - step)) / (2 * eps), abs=5e-3)
+
+
 def test_negatives_are_legal():
     rng = np.random.default_rng(0)
     have = {0: {0, 1}, 1: {0, 1, 2}}
