@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..models.ann import graph_search, ivf, ivfpq, lsh, recall
 from ..models.factors import FactorModel
 from ..models.graph_models import BM3, DRAGON, FREEDOM, LATTICE, MGCN, MMGCN, LGMRec, LightGCN
-from ..models.graph_training import behaviour_guidance
+from ..models.graph_training import behaviour_guidance, contrast_terms
 from ..operators import features, history
 from ..operators.nearest import top_by_dot
 from .inputs import SPLIT, table
@@ -156,3 +156,26 @@ SQL["behaviour_guidance_by_user"] = f"""WITH {SPLIT},
  s AS (SELECT uid, pos, sum(a) AS a, sum(b) AS b FROM x GROUP BY uid, pos),
  p AS (SELECT uid, sum(a * b) AS both_sums FROM s GROUP BY uid)
 SELECT uid, m, round((both_sums - own) / (m * m), 6) + 0.0 AS guidance FROM per_user JOIN p USING (uid)"""
+
+
+@query
+def contrast_by_vector(spark, d):
+    """Of each vector's first half: its product with its own second half and the log-sum-exp with those of all vectors, and
+    the same with halves exchanged; the contrastive loss is the mean of both less the own product."""
+    import uuid
+
+    from ..sources.shared import Folder, shared_folder
+
+    folder = Folder(spark, f"{shared_folder(spark)}/tidewise-contrast/{uuid.uuid4().hex}")
+    keep = lambda df: folder.save(df, uuid.uuid4().hex)
+    vec = _vectors(spark, d).select(F.col("id").alias("node"), "vec")
+    first, second = (vec.select("node", F.slice("vec", at, 32).alias("vec")) for at in (1, 33))
+    terms = contrast_terms(vec.select("node"), first, second, 32, 0.5, keep)
+    return terms.select(F.col("node").alias("vec_id"), *[(F.round(c, 6) + 0.0).alias(c) for c in ("own", "row_lse", "column_lse")])
+
+
+SQL["contrast_by_vector"] = """WITH h AS (SELECT vec_id, list_transform(embedding[1:32], lambda x: x::DOUBLE) AS a, list_transform(embedding[33:64], lambda x: x::DOUBLE) AS b FROM embeddings),
+ u AS (SELECT vec_id, list_transform(a, lambda x: x / sqrt(list_inner_product(a, a))) AS a, list_transform(b, lambda x: x / sqrt(list_inner_product(b, b))) AS b FROM h),
+ s AS (SELECT x.vec_id AS i, y.vec_id AS j, list_inner_product(x.a, y.b) / 0.5 AS p FROM u x CROSS JOIN u y),
+ r AS (SELECT i, ln(sum(exp(p))) AS lse FROM s GROUP BY i), c AS (SELECT j, ln(sum(exp(p))) AS lse FROM s GROUP BY j)
+SELECT r.i AS vec_id, round(s.p, 6) + 0.0 AS own, round(r.lse, 6) + 0.0 AS row_lse, round(c.lse, 6) + 0.0 AS column_lse FROM r JOIN c ON r.i = c.j JOIN s ON s.i = r.i AND s.j = r.i"""
