@@ -63,6 +63,111 @@ def test_archives_round_trip(spark, least, monkeypatch):
     assert warc.read_archives(warc.write_archives(pages.limit(0))).count() == 0
 
 
+def foreign_archive(path):
+    """An archive of another writer: two data files, two indexes, other headers, digests and record kinds."""
+    import gzip
+    import json
+
+    def record(kind, ident, body, more="", http="HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n"):
+        block = (http.encode() + b"\r\n" + body) if http else body
+        form = "Content-Type: application/http;msgtype=response\r\n" if http else "content-type: text/plain\r\n"
+        return f"WARC/1.0\r\nwarc-type: {kind}\r\nWARC-Record-ID: {ident}\r\nWARC-Target-URI: http://x/{ident}\r\n{form}{more}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+    html = "<p>Grüße</p>".encode()
+    chunked = "HTTP/1.1 200 OK\r\nTransfer-Encoding: Chunked\r\n"
+    packed = [gzip.compress(x) for x in (
+        record("warcinfo", "i", b"software: other", http=""),
+        record("response", "a", html, f"WARC-Payload-Digest: sha256:{hashlib.sha256(html).hexdigest()}\r\n"),
+        record("revisit", "b", b"", "WARC-Refers-To: a\r\nWARC-Folded: one\r\n two\r\n"),
+    )]
+    plain = [
+        record("response", "c", b"4\r\n<p>G\r\n5;x=y\r\nr</p>\r\n0\r\n\r\n", f"WARC-Payload-Digest: sha1:{base64.b32encode(hashlib.sha1(b'<p>Gr</p>').digest()).decode()}\r\n", chunked),
+        record("response", "d", b"not chunked", "", chunked),
+        record("resource", "e", b"\xff\xfe", http=""),
+        record("response", "f", b"in no index"),
+    ]
+    line = lambda name, at, n: f"x)/{{}} 20200101000000 " + json.dumps({"filename": name, "offset": str(at), "length": str(n)}) + "\n"
+    at = lambda parts, k: sum(map(len, parts[:k]))
+    one = "".join(line("p.warc.gz", at(packed, k), len(packed[k])) for k in (2, 1))
+    two = "!meta 0 {}\n\n" + "".join(line("archive/q.warc", at(plain, k), len(plain[k])) for k in (0, 1, 2)) + line("p.warc.gz", at(packed, 1), len(packed[1]))
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_STORED) as z:
+        z.writestr("datapackage.json", "{}" * 99, compress_type=zipfile.ZIP_DEFLATED)
+        z.writestr("archive/p.warc.gz", b"".join(packed))
+        z.writestr("indexes/one.cdx.gz", gzip.compress(one[: len(one) // 2].encode()) + gzip.compress(one[len(one) // 2 :].encode()))
+        z.writestr("archive/q.warc", b"".join(plain))
+        z.writestr("indexes/two.cdxj", two)
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    path = str(tmp_path / "other.zip")
+    foreign_archive(path)
+    archives = spark.createDataFrame([(path, 1)], "path string, clash int")
+    got = {r["record_id"]: r for r in warc.archive_records(archives).collect()}
+    html = "<p>Grüße</p>".encode()
+    assert {k: (r["record_type"], r["content"] and bytes(r["content"]), r["payload_bytes"], r["refers_to_record"]) for k, r in got.items()} == {
+        "a": ("response", html, len(html), None),
+        "b": ("revisit", None, None, "a"),
+        "c": ("response", b"<p>Gr</p>", 9, None),
+        "d": ("response", b"not chunked", 11, None),
+        "e": ("resource", b"\xff\xfe", 2, None),
+    }
+    assert got["a"]["payload_digest"] == f"sha256:{hashlib.sha256(html).hexdigest()}" and got["d"]["payload_digest"] is None and got["e"]["id"] is None
+    assert {(r["url"], r["payload"]) for r in warc.read_archives(archives).collect()} == {("http://x/a", html.decode()), ("http://x/b", None), ("http://x/c", "<p>Gr</p>"), ("http://x/d", "not chunked"), ("http://x/e", None)}
+
+
+def test_damaged_archives(tmp_path):
+    def opened(members, method=zipfile.ZIP_STORED):
+        raw = io.BytesIO()
+        with zipfile.ZipFile(raw, "w", method) as z:
+            for name, data in members.items():
+                z.writestr(name, data)
+        return raw, len(raw.getvalue())
+
+    line = b'k 2020 {"filename": "a.warc", "offset": "0", "length": "9"}\n'
+    for members, method in (({"archive/a.warc": b"x" * 9}, 0), ({"indexes/i.cdxj": line}, 0), ({"archive/a.warc": b"x" * 8, "indexes/i.cdxj": line}, 0), ({"archive/a.warc": b"x" * 9, "indexes/i.cdxj": line}, zipfile.ZIP_DEFLATED)):
+        with pytest.raises(ValueError):
+            warc.places(*opened(members, method))
+    raw, size = opened({"archive/a.warc": b"x" * 9, "indexes/i.cdxj": line})
+    assert [n for _, n in warc.places(raw, size)] == [9]
+    good = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: a\r\nWARC-Payload-Digest: sha1:%s\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    assert warc.parsed(good % base64.b32encode(hashlib.sha1(b"abc").digest()))["content"] == b"abc"
+    for bad in (good % base64.b32encode(hashlib.sha1(b"abd").digest()), b"x" * 50):
+        with pytest.raises(ValueError):
+            warc.parsed(bad)
+
+
+def test_archives_of_ids_that_are_no_numbers(spark):
+    rows = [("b/ä", "http://www.a.b/c d?e", "same"), ("", "u", "same"), (None, "v", "same"), ("x>", "w", "other"), ("x>", "w", "other")]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string")
+    archives = warc.write_archives(pages)
+    got = sorted((str(r["id"]), r["url"], r["record_type"], r["refers_to"], r["payload"]) for r in warc.read_archives(archives, id_type="string").collect())
+    assert got == [("", "u", "response", None, "same"), ("None", "v", "revisit", "", None), ("b/ä", "http://www.a.b/c d?e", "revisit", "", None), ("x>", "w", "response", None, "other"), ("x>", "w", "response", None, "other")]
+    assert {r["date"] for r in warc.archive_records(archives).collect()} == {"1970-01-01T00:00:00Z"}
+    assert warc.sort_key("HTTP://WWW.a.b/c d?e") == "b,a,www)/c%20d?e" and warc.sort_key("http://a.b") == "b,a)/" and warc.sort_key("") == "-"
+
+
+def test_one_payload_of_most_rows_is_dealt_out(spark):
+    """Pages of one payload are written by many tasks, and still refer to the smallest id."""
+    from pyspark.sql import functions as F
+
+    pages = spark.range(4000).select(F.col("id").alias("page_id"), F.concat(F.lit("u"), "id").alias("url"), F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("p"), (F.col("id") / 6).cast("long"))).alias("html"))
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}  # small pieces stay apart
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        archives = warc.write_archives(pages)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    got = {r["id"]: (r["record_type"], r["refers_to"]) for r in warc.read_archives(archives).collect()}
+    first, want = {}, {}
+    for r in pages.orderBy("page_id").collect():
+        k = first.setdefault(r["html"], r["page_id"])
+        want[r["page_id"]] = ("response", None) if k == r["page_id"] else ("revisit", k)
+    assert got == want and archives.agg(F.max("records")).first()[0] < 2500
+
+
 def test_zip_directories():
     raw = io.BytesIO()
     with zipfile.ZipFile(raw, "w") as z:

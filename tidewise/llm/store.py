@@ -13,12 +13,17 @@ BUCKETS = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where it is unset (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that driver and executors share: spark.checkpoint.dir, or the folder that checkpoints were set to.
+
+    Where neither is there, a local session (tests) gets a new folder of its own; a cluster must name one.
+    """
+    context = spark.sparkContext
+    at = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not at:
-        at = tempfile.mkdtemp(prefix="tidewise-")
-        spark.sparkContext.setCheckpointDir(at)
-        spark.conf.set("spark.checkpoint.dir", at)
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tidewise-"))
+        at = context.getCheckpointDir()
     return at.rstrip("/")
 
 
