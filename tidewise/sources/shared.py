@@ -9,13 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir. Where it is unset, a local session gets a new folder of its own; a cluster must name one."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """spark.checkpoint.dir, or the folder that checkpoints were set to. Where neither is there, a local session gets a
+    new folder of its own; a cluster must name one."""
+    context = spark.sparkContext
+    at = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not at:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        at = tempfile.mkdtemp(prefix="tidewise-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tidewise-"))
+        at = context.getCheckpointDir()
     return at.rstrip("/")
 
 
