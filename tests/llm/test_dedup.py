@@ -80,6 +80,20 @@ def test_exact_dedup_across_calls(spark, tmp_path):
             exact_dedup.exact_dedup(spark.read.parquet(f"{tmp_path}/part {n}"), **weak)
 
 
+def test_exact_dedup_of_a_batch_that_failed(spark, tmp_path, monkeypatch):
+    """Rows that arrived before a call failed count once when it is run again, also after it succeeded."""
+    frame(spark, [(1, "a b"), (2, "ab"), (3, "c"), (None, None)]).write.parquet(f"{tmp_path}/docs")
+    docs, home = spark.read.parquet(f"{tmp_path}/docs"), f"{tmp_path}/state"
+    call = lambda name: sorted((str(r["id"]), r["keep_id"], r["group_size"]) for r in exact_dedup.exact_dedup(docs, state=home, batch=name).collect())
+    with monkeypatch.context() as m:
+        m.setattr(exact_dedup, "run_stream", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            call("monday")
+    want = [("1", 1, 2), ("2", 1, 2), ("3", 3, 1), ("None", None, 1)]
+    assert call("monday") == want and call("monday") == want
+    assert [x[2] for x in call("tuesday")] == [4, 4, 2, 2]
+
+
 def test_exact_dedup_deals_out_frequent_digests(spark):
     rows = [(k, "same text" if k % 3 else f"text {k}") for k in range(3000)]
     got = exact_dedup.exact_dedup(frame(spark, rows)).collect()

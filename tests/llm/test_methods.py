@@ -75,7 +75,7 @@ def test_the_field_s_gradient_equals_finite_differences(seed):
         assert slope == pytest.approx((spans * a).sum() + (pairs * b).sum(), rel=1e-5, abs=1e-7)
 
 
-def test_partition_sums_solve_the_ridge_problem(spark):
+def test_partition_sums_solve_the_ridge_problem(spark, monkeypatch):
     """The weights are those of one dense solution over all rows, however the rows are dealt."""
     rng = np.random.default_rng(5)
     x = rng.normal(size=(300, quality.N_STATS)).astype(np.float32)
@@ -88,6 +88,8 @@ def test_partition_sums_solve_the_ridge_problem(spark):
     z = kernel.lifted(x[train].astype(float))
     assert kernel.weights == pytest.approx(np.linalg.solve(z.T @ z + 0.05 * np.eye(21), z.T @ y[train]), abs=1e-8)
     assert (np.diff(kernel.steps[1]) >= 0).all() and ((kernel.score(x.astype(float)) >= 0) & (kernel.score(x.astype(float)) <= 1)).all()
+    monkeypatch.setattr(quality, "TASK_ROWS", 10)  # more tasks as there are more rows
+    assert quality.fit(df, features=20, width=0.8, ridge=0.05, seed=3, tasks=4).weights == pytest.approx(kernel.weights, abs=1e-8)
 
 
 def test_random_features_approximate_a_gaussian_kernel():

@@ -283,6 +283,17 @@ def test_packing(spark):
     assert packing.pack(frame(spark, []).limit(0), tokenizer=path).count() == 0
 
 
+def test_packing_with_a_long_plan(spark, monkeypatch):
+    """A plan that is joined by shuffle, in small blocks of ranks, gives the places of a broadcast one."""
+    rng = random.Random(4)
+    rows = [(k, " ".join(["word"] * rng.choice((0, 1, 5, 9, 40, 200)))) for k in range(150)]
+    pack = lambda: sorted(map(tuple, packing.pack(frame(spark, rows), tokenizer=packing.public_vocabulary(), size=16).collect()))
+    want = pack()
+    monkeypatch.setattr(packing, "RANKS", 3)
+    monkeypatch.setattr(packing, "PLAN_BROADCAST", 0)
+    assert pack() == want and sum(r[3] == 16 for r in want) > 100
+
+
 def test_fast_ids_equal_the_tokenizer(spark):
     from tokenizers import Tokenizer
 

@@ -12,6 +12,7 @@ them is decided by the locator. An empty table gives an empty result. Columns ot
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable
 from urllib.parse import unquote
@@ -19,7 +20,7 @@ from urllib.parse import unquote
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import BUCKETS, moved, shared_path, written
+from .store import BUCKETS, exists, moved, shared_path, written
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Session settings while the stream runs; RocksDB's memory is bounded for each executor.
@@ -68,11 +69,13 @@ def keyed_state(rows: DataFrame) -> DataFrame:
     return rows.groupBy("digest").agg(F.min(keeper()).alias("best"), F.count(F.lit(1)).alias("n"))
 
 
-def arrived(rows: DataFrame, home: str) -> DataFrame:
-    """rows as a new folder under home/arrivals, which the stream sees only once it is whole."""
-    spark, name = rows.sparkSession, uuid.uuid4().hex
-    rows.write.parquet(f"{home}/unfinished/{name}")
-    moved(spark, f"{home}/unfinished/{name}", f"{home}/arrivals/{name}")
+def arrived(rows: DataFrame, home: str, batch: str | None = None) -> DataFrame:
+    """rows as a new folder under home/arrivals, which the stream sees only once it is whole; a batch arrives once."""
+    spark, new = rows.sparkSession, uuid.uuid4().hex
+    name = new if batch is None else hashlib.sha256(batch.encode()).hexdigest()
+    if batch is None or not exists(spark, f"{home}/arrivals/{name}"):
+        rows.write.parquet(f"{home}/unfinished/{new}")
+        moved(spark, f"{home}/unfinished/{new}", f"{home}/arrivals/{name}")
     return spark.read.schema(rows.schema).parquet(f"{home}/arrivals/{name}")
 
 
@@ -104,7 +107,7 @@ def run_stream(rows: DataFrame, home: str, files_per_batch: int) -> DataFrame:
 
 
 def exact_dedup(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256, files_per_batch: int = 512, state: str | None = None
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256, files_per_batch: int = 512, state: str | None = None, batch: str | None = None
 ) -> DataFrame:
     """One row for each row of docs: id, digest, n_chars, keep_id, group_size, kept.
 
@@ -115,10 +118,12 @@ def exact_dedup(
     folder (and id_col, text_col, digest) takes docs as new arrivals: they are copies of earlier calls' rows too, and sizes
     count all calls. A longer row, or one with a smaller id, replaces an earlier keeper from then on. The earlier calls'
     files must still be there; different texts of one digest are refused. Without it each call starts afresh.
+
+    batch: a name of docs' rows in that state. A call that failed, run again with the same name and rows, counts them once.
     """
     spark, home = docs.sparkSession, (state or shared_path(docs.sparkSession, "keyed-state")).rstrip("/")
     texts = located(docs, id_col, text_col)
-    rows = arrived(fingerprints(texts, digest), home)
+    rows = arrived(fingerprints(texts, digest), home, batch if state else None)
     found = written(run_stream(rows, home, files_per_batch), "keepers")
     hits = found.where("n > 1")
     members = hit_texts(texts, hits, digest)

@@ -4,7 +4,8 @@ Tasks tokenise the texts and cut those longer than a sequence. Lengths are count
 driver, and best fit runs there over counts: of each length, from the longest, as many pieces as fit go into all open
 sequences with the least sufficient room at once. The plan is a list of ranges: "of the pieces of this length, those
 ranked a to b go to sequences s, s+1, ... at this offset". Pieces get their rank within their length from counts per
-(length, bucket), so that no length, however common, lands in one task, and join the plan on length and rank.
+(length, bucket), and join the plan on length and block of RANKS ranks, so that no length, however common, lands in one
+task in either step.
 
 Nulls: a null text is empty (it still has the end token); a null id is kept. Repeated rows are packed each. An empty
 table gives an empty result. Other columns are ignored.
@@ -25,8 +26,9 @@ from pyspark.sql import functions as F
 from .store import written
 
 PIECES_PER_BUCKET = 50_000
-#: Ranges of a plan that a join may broadcast (40 bytes each); a longer plan is shuffled.
-PLAN_BROADCAST = 200_000
+#: Ranges of a plan, cut at blocks of RANKS ranks; so many of them (48 bytes each) a join may broadcast. Longer plans are
+#: shuffled by length and block, as the pieces are, and a task gets RANKS pieces of a block at most.
+RANKS, PLAN_BROADCAST = 4096, 200_000
 #: The GPT-2 pre-tokeniser's pattern, fixed by the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -169,9 +171,11 @@ def pack(docs: DataFrame, *, tokenizer: str, id_col: str = "doc_id", text_col: s
     before = per_bucket.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))).select("length", "bucket", F.coalesce("before", F.lit(0)).alias("before"))
     within = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("id", "piece", "ids_crc32")) - 1
     ranked = dealt.withColumn("within", within).join(before, ["length", "bucket"]).withColumn("rank", F.col("within") + F.col("before"))
+    block = lambda c: F.floor(c / RANKS)
+    slots = slots.where("lo < hi").withColumn("p_block", F.explode(F.sequence(block(F.col("lo")), block(F.col("hi") - 1))))
     if len(counts) and slots.count() <= PLAN_BROADCAST:
         slots = F.broadcast(slots)
-    takes = (F.col("length") == F.col("p_length")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))
+    takes = (F.col("length") == F.col("p_length")) & (block(F.col("rank")) == F.col("p_block")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))
     sequence = F.col("first_sequence") + F.col("rank") - F.col("lo")
     return ranked.join(slots, takes).select("id", "piece", "start", "length", "ids_crc32", sequence.alias("sequence_id"), "offset", *["ids"] * with_ids)
 

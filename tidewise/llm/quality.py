@@ -144,8 +144,12 @@ def isotonic(x: np.ndarray, total: np.ndarray, n: np.ndarray) -> tuple[np.ndarra
     return np.array([b[2] / b[1] for b in blocks]), np.array([b[0] / b[1] for b in blocks])
 
 
+#: Labelled rows whose normal equations a task sums up.
+TASK_ROWS = 100_000
+
+
 def fit(rows: DataFrame, *, features: int, width: float, ridge: float, seed: int, tasks: int) -> Kernel | float:
-    """rows: (x, y, calibrate) of the labelled training rows. A number is returned where both labels aren't there."""
+    """rows: (x, y, calibrate) of the labelled training rows; tasks: the least number of them. A number is returned where both labels aren't there."""
     seen = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(seen) < 2:
         return float(next(iter(seen))) if seen else 0.5
@@ -158,7 +162,7 @@ def fit(rows: DataFrame, *, features: int, width: float, ridge: float, seed: int
     kernel = Kernel(mean, np.where(spread > 1e-6, spread, 1.0), rng.normal(0, 1 / (width * np.sqrt(N_STATS)), (N_STATS, features)), rng.uniform(0, 2 * np.pi, features))
     sums = (
         train.select("x", "y")
-        .repartition(tasks)
+        .repartition(max(tasks, sum(seen.values()) // TASK_ROWS))
         .mapInArrow(lambda it: _normal_equations(it, kernel), "i int, values array<double>")
         .select("i", F.posexplode("values").alias("j", "v"))
         .groupBy("i", "j")

@@ -46,6 +46,11 @@ def removed(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def moved(spark: SparkSession, old: str, new: str) -> None:
     """Renames a folder; its new parent is made if there is none."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
