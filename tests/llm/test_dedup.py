@@ -285,6 +285,28 @@ def test_edits_within_a_bound():
         assert [line_dedup.within_edits(a, b, most) for most in (d - 1, d, d + 3)] == [False, True, True]
 
 
+def test_edits_of_many_pairs_at_once():
+    rng = random.Random(7)
+    pairs = [("", ""), ("", "abc"), ("abcdef", "abcdef"), ("x", "y" * 70)]
+    for _ in range(300):
+        a = "".join(rng.choice("abcd é漢😀") for _ in range(rng.choice((1, 5, 63, 64, 65, 128, 130, 200))))
+        b = list(a)
+        for _ in range(rng.randint(0, 40)):
+            at = rng.randint(0, len(b))
+            b[at : at + rng.randint(0, 2)] = rng.choice(("", "x", "ba"))
+        pairs.append((a, "".join(b)) if rng.random() < 0.5 else ("".join(b), a))
+    one, two = [a for a, _ in pairs], [b for _, b in pairs]
+    want = [edit_distance(a, b) for a, b in pairs]
+    for similarity in (0.5, 0.8, 1.0):
+        near = [d <= int((1 - similarity) * max(len(a), len(b)) + 1e-9) for d, (a, b) in zip(want, pairs)]
+        assert line_dedup.near_pairs(one, two, similarity).tolist() == near
+    assert line_dedup.near_pairs([], [], 0.8).tolist() == []
+    for band in (0, 5, 31, 64, 130, 300):
+        some = [k for k, (a, b) in enumerate(pairs) if a and b and abs(len(a) - len(b)) <= band]
+        got = line_dedup._distances([one[k] for k in some], [two[k] for k in some], band)
+        assert all(d == want[k] if want[k] <= band else d >= want[k] for k, d in zip(some, got))
+
+
 def test_keys_that_several_tasks_hold(spark, monkeypatch):
     import numpy as np
 

@@ -43,6 +43,9 @@ SHORTEST, SHORT, HALVED, WIDTH, LEAST = 3, 5, 16, 4, 4
 #: Keys of a line, about: what a bucket of the key join is sized by.
 KEYS_PER_LINE = 8
 BITMAP_BITS = 1 << 25
+#: Pairs whose distances are found together: at most, characters of a side at most, fewer than what isn't worth it (for each
+#: word of the band); edits of the first band.
+TOGETHER, TOGETHER_CHARS, FEW, BAND = 2048, 1 << 21, 24, 31
 _NOT_WORD = re.compile(rb"[^0-9a-z\x80-\xff]+")
 
 
@@ -228,11 +231,8 @@ def _texts(batches, bitmap):
             yield pa.RecordBatch.from_arrays(columns, names=["id", "text", "n", "words", *(f"s{k}" for k in range(BLOCKS))])
 
 
-def within_edits(a: str, b: str, most: int) -> bool:
-    """Whether at most `most` edits make one text the other: a column of the table of distances is two numbers' bits.
-
-    Myers' bit-vector method (1999); what both texts begin or end with is left out first.
-    """
+def _middles(a: str, b: str) -> tuple[str, str]:
+    """The shorter and the longer text without what both begin or end with."""
     if len(a) > len(b):
         a, b = b, a
     for step in (1, -1):
@@ -245,6 +245,15 @@ def within_edits(a: str, b: str, most: int) -> bool:
             else:
                 end = mid - 1
         a, b = x[same:][::step], y[same:][::step]
+    return a, b
+
+
+def within_edits(a: str, b: str, most: int) -> bool:
+    """Whether at most `most` edits make one text the other: a column of the table of distances is two numbers' bits.
+
+    Myers' bit-vector method (1999).
+    """
+    a, b = _middles(a, b)
     if len(b) <= most or len(b) - len(a) > most:
         return len(b) <= most
     ones, last, where = (1 << len(a)) - 1, 1 << len(a) - 1, {}
@@ -268,11 +277,125 @@ def within_edits(a: str, b: str, most: int) -> bool:
     return distance <= most
 
 
+def near_pairs(one: list[str], two: list[str], similarity: float) -> np.ndarray:
+    """Which pairs of texts have that edit similarity: pairs of about one length take Myers' steps together.
+
+    First near the diagonal only, where a distance that is found is one, if not the least; what is too far there goes on
+    to a wider band (Ukkonen 1985), up to the allowed edits, where it is decided.
+    """
+    most = np.array([int((1 - similarity) * max(len(x), len(y)) + 1e-9) for x, y in zip(one, two)], np.int64)
+    cut = [_middles(x, y) for x, y in zip(one, two)]
+    less, size = (np.array([len(c[k]) for c in cut], np.int64) for k in (0, 1))
+    near = size <= most
+    left, band = np.flatnonzero(~near & (size - less <= most)), BAND
+    while len(left):
+        now = left[size[left] - less[left] <= np.minimum(band, most[left])]
+        now = now[np.argsort(size[now], kind="stable")]
+        lo = 0
+        while lo < len(now):
+            # none more than half as long again as the first, and as many as the longest leaves room for
+            hi = min(int(np.searchsorted(size[now], size[now[lo]] * 3 // 2 + 16, "right")), lo + TOGETHER)
+            hi = max(lo + 1, min(hi, lo + TOGETHER_CHARS // int(size[now[hi - 1]])))
+            some, lo = now[lo:hi], hi
+            if len(some) < FEW + FEW * min(band, int(most[some].max())) // 64:
+                near[some] = [within_edits(*cut[k], most[k]) for k in some]
+                most[some] = np.minimum(most[some], band)  # decided
+            else:
+                near[some] = _distances([cut[k][0] for k in some], [cut[k][1] for k in some], min(band, int(most[some].max()))) <= most[some]
+        left = left[~near[left] & (most[left] > band)]
+        band *= 4
+    return near
+
+
+def _code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.array([len(t) for t in texts], np.int64)
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), sizes
+
+
+def _distances(one: list[str], two: list[str], band: int) -> np.ndarray:
+    """Numbers of edits that make texts the others, the least where that is `band` or less.
+
+    No text of `one` is empty, and no pair's lengths differ by more than `band`. All pairs take the same steps: Myers'
+    bit-vectors in words of 64 bits (Hyyrö 2003), those that the band touches. A pair's table has a row for each character of its first text; the rows' differences down a column are two bits, and
+    64 rows are one word, whose lowest difference along the row comes from the word above. Characters become numbers of
+    the pair's own, so that any of them may come.
+    """
+    order = sorted(range(len(one)), key=lambda k: len(one[k]))
+    n, (a, a_size), (b, b_size) = len(one), _code_points([one[k] for k in order]), _code_points([two[k] for k in order])
+    pair = np.repeat(np.arange(n), a_size)
+    at = np.arange(len(a)) - np.repeat(np.cumsum(a_size) - a_size, a_size)
+    wide = max(1, -(-int(a_size.max(initial=0)) // 64))
+    letter = (pair.astype(np.uint64) << np.uint64(32)) | a  # of a pair
+    known, number = np.unique(letter, return_inverse=True)
+    masks = np.zeros((wide, len(known) + 1), np.uint64)  # the last one is that of characters that aren't in the first text
+    place = (at >> 6) * (len(known) + 1) + number
+    by_place = np.argsort(place, kind="stable")
+    place = place[by_place]
+    begin = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+    masks.ravel()[place[begin]] = np.bitwise_or.reduceat(np.uint64(1) << (at[by_place] & 63).astype(np.uint64), begin)
+    longest = int(b_size.max(initial=0))
+    seen = np.full((longest, n), len(known), np.int64)
+    pair = np.repeat(np.arange(n), b_size)
+    letter = (pair.astype(np.uint64) << np.uint64(32)) | b
+    found = np.searchsorted(known, letter)
+    found[found == len(known)] = 0
+    same = known[found] == letter
+    seen[np.arange(len(b)) - np.repeat(np.cumsum(b_size) - b_size, b_size), pair] = np.where(same, found, len(known))
+
+    u, one_bit, high = np.uint64, np.uint64(1), np.uint64(63)
+    more, less = np.full((wide, n), u((1 << 64) - 1)), np.zeros((wide, n), u)
+    last_word, last_bit = (a_size - 1) >> 6, ((a_size - 1) & 63).astype(u)
+    ends = np.searchsorted(last_word, np.arange(wide + 1))  # pairs rise by their last word
+    bits = [np.where(last_word == w, last_bit, high) for w in range(wide)]
+    finished, done = np.argsort(b_size, kind="stable"), 0
+    finish = np.searchsorted(b_size[finished], np.arange(longest + 2))
+    lowest = min(band // 64, wide - 1)  # the last word of the band; what is below it has grown by one a row
+    distance = np.minimum(a_size, 64 * (lowest + 1)).astype(u)  # at the pair's last row in those words
+    found = np.zeros(n, np.int64)
+    for k in range(longest):
+        end = min((k + band) >> 6, wide - 1)
+        if end > lowest:
+            lowest = end
+            distance += (np.minimum(a_size, 64 * (end + 1)) - np.minimum(a_size, 64 * end)).astype(u)
+        here_of = seen[k]
+        up_in, down_in = one_bit, u(0)  # the row above grows by one a column
+        for w in range(max(0, k - band) >> 6, end + 1):
+            here, p, m = masks[w][here_of], more[w], less[w]
+            diagonal = here | m
+            here |= down_in
+            across = here & p
+            across += p
+            across ^= p
+            across |= here
+            up, down = across | p, p & across
+            np.invert(up, out=up)
+            up |= m
+            lo, hi = ends[w], (n if w == end else ends[w + 1])
+            if hi > lo:
+                bit = bits[w][lo:hi]
+                distance[lo:hi] += ((up[lo:hi] >> bit) & one_bit) - ((down[lo:hi] >> bit) & one_bit)
+            if w < end:
+                up_out, down_out = up >> high, down >> high
+            up <<= one_bit
+            up |= up_in
+            down <<= one_bit
+            down |= down_in
+            np.bitwise_and(up, diagonal, out=m)
+            diagonal |= up
+            np.invert(diagonal, out=diagonal)
+            np.bitwise_or(down, diagonal, out=p)
+            if w < end:
+                up_in, down_in = up_out, down_out
+        if finish[k + 2] > done:
+            now, done = finished[done : finish[k + 2]], finish[k + 2]
+            found[np.array(order)[now]] = distance[now].astype(np.int64)
+    return found
+
+
 def _confirmed(batches, similarity: float):
     """Of (a, b, a_text, b_text) the pairs whose texts have that edit similarity."""
     for batch in batches:
-        one, two = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        near = [within_edits(x, y, int((1 - similarity) * max(len(x), len(y)) + 1e-9)) for x, y in zip(one, two)]
+        near = near_pairs(batch.column(2).to_pylist(), batch.column(3).to_pylist(), similarity)
         yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
 
