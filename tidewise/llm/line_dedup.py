@@ -439,7 +439,8 @@ def fuzzy_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         return as_long & ((apart <= FAR) | (F.least(f"{a}_words", f"{b}_words") < FAR_WORDS))
 
     roots, _ = linked(keys, texts.select("id", "n", "words", *sims), near, confirm, rounds=2)
-    grouped = nodes.join(roots.withColumnRenamed("id", "h1"), "h1", "left").withColumn("root", F.coalesce("root", "h1"))
+    in_groups = roots.unionByName(roots.select(F.col("root").alias("id"), "root").distinct()).withColumnRenamed("id", "h1")
+    grouped = nodes.join(in_groups, "h1", "left").where("root is not null or times > 1").withColumn("root", F.coalesce("root", "h1"))
     keepers = grouped.groupBy("root").agg(F.min("first").alias("keep"), F.sum("times").alias("in_group")).where("in_group > 1").select("root", "keep")
     repeated = grouped.join(keepers, "root").select("h1", "h2", "keep")
     stays = (F.col("row") == F.col("keep.row")) & (F.col("line") == F.col("keep.line"))
