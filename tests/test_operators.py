@@ -257,3 +257,58 @@ def test_places_of_one_hot_columns(spark):
     df = spark.createDataFrame([(1, "b"), (2, None), (3, "a"), (4, "b")], "id long, c string")
     assert {r["id"]: r["place"] for r in features.one_hot_places(df, "id", "c").collect()} == {2: 0, 3: 1, 1: 2, 4: 2}
     assert features.categorical(df.limit(0), "id", ["c"]).count() == 0
+
+
+def _pairs_by_hand(rows, most):
+    from collections import Counter
+    from itertools import permutations
+
+    of_user, sims = {}, {}
+    for u, i in set(rows):
+        of_user.setdefault(u, set()).add(i)
+    users = Counter(i for s in of_user.values() for i in s)
+    met = Counter(p for s in of_user.values() for p in permutations(s, 2))
+    for (i, j), n in met.items():
+        sims.setdefault(i, []).append((-round(n / (users[i] * users[j]) ** 0.5, 6), str(j)))
+    return met, {(str(i), j, -s, r) for i, found in sims.items() for r, (s, j) in enumerate(sorted(found)[:most], 1)}
+
+
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_neighbours_send_a_row_for_each_item_of_a_user_not_for_each_pair(spark, kind):
+    rng = np.random.default_rng(3)
+    rows = [(int(u), int(i)) for u, i in zip(rng.integers(0, 40, 500), rng.choice([-12, -1, 0, 2, 10, 100, 20, 3, 2**40, 9, 11], 500) + 1000 * (rng.integers(0, 40, 500) % 7))]
+    df = spark.createDataFrame([(u, i, 0) for u, i in rows], "user long, item long, ts long").withColumn("item", F.col("item").cast(kind))
+    h = itemcf.capped_history(df)
+    met, expected = _pairs_by_hand(rows, 5)
+    near = itemcf.neighbours(h, 5, 6)
+    if kind == "bigint":
+        assert near._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1  # the items' counts; users' items don't meet in a join
+    assert {(str(r["i"]), str(r["j"]), r["sim"], r["rank"]) for r in near.collect()} == expected
+    found = {(str(r["i"]), str(r["j"])): r["n"] for r in itemcf.co_occurrence(h).collect()}
+    assert {frozenset(p): n for p, n in found.items()} == {frozenset(map(str, p)): n for p, n in met.items()} and len(found) * 2 == len(met)
+    sums = {}
+    for u, i in set(rows):
+        for a, b, s, _ in expected:
+            if a == str(i):
+                sums[u, b] = sums.get((u, b), 0) + s
+    scores = {(r["user"], str(r["item"])): r["score"] for r in itemcf.candidate_scores(history.seen_pairs(df), near, 6).collect()}
+    assert scores.keys() == sums.keys() and all(abs(scores[p] - sums[p]) < 2e-6 for p in sums)
+
+
+def test_lists_keep_any_keys_and_groups_over_several_batches_add_up(spark):
+    from tidewise.operators.baskets import packed_lists, unpacked_lists
+
+    rng = np.random.default_rng(0)
+    lists = [np.sort(rng.integers(-(2**62), 2**62, n)) >> s for n, s in ((1, 0), (5, 40), (200, 60), (3, 0))] + [np.array([-(2**63), 2**63 - 1])]
+    values = [rng.integers(0, 2**b, len(x)).astype(np.uint64) for x, b in zip(lists, (3, 60, 12, 1, 40))]
+    packed = packed_lists(np.array([len(x) for x in lists]), np.concatenate(lists), np.concatenate(values))
+    row, key, value = unpacked_lists(packed.slice(1, 3))
+    assert row.tolist() == np.repeat([0, 1, 2], [5, 200, 3]).tolist() and (key == np.concatenate(lists[1:4])).all() and (value == np.concatenate(values[1:4])).all()
+    assert (unpacked_lists(packed)[1] == np.concatenate(lists)).all()
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        h = spark.createDataFrame([(u, i, 0) for u in range(60) for i in (1, 2 + u % 2)], "user long, item long, first_ts long")
+        assert pairs(itemcf.co_occurrence(h), "i", "j", "n") == [(1, 2, 30), (1, 3, 30)]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
