@@ -312,3 +312,22 @@ def test_lists_keep_any_keys_and_groups_over_several_batches_add_up(spark):
         assert pairs(itemcf.co_occurrence(h), "i", "j", "n") == [(1, 2, 30), (1, 3, 30)]
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
+def test_searches_send_no_pairs_and_build_their_graphs_once(spark):
+    import re
+
+    from tidewise.models import ann
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(300, 8))
+    v = spark.createDataFrame([(i, (r / np.linalg.norm(r)).tolist()) for i, r in enumerate(x)], "user long, vec array<double>").repartition(3)
+    items = v.withColumnRenamed("user", "item")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"RepartitionByExpression[^\n]*\n[^\n]*Join", plan(top_by_dot(v, items, 3, block=100)))
+    exact = {(r["user"], r["item"]) for r in top_by_dot(v, items, 3, block=100).collect()}
+    for found in (ann.ivf(v, items, 3), ann.lsh(v, items, 3)):
+        assert not re.search(r"Join Inner, \(", plan(found))  # no pair is a row
+        assert len(exact & {(r["user"], r["item"]) for r in found.collect()}) >= 0.9 * len(exact)
+    assert "FlatMapGroupsInArrow" not in plan(ann.graph_search(v, items, 3, part_rows=100))
+    assert len(exact & {(r["user"], r["item"]) for r in ann.ivfpq(v, items, 3, bits=4).collect()}) >= 0.9 * len(exact)
