@@ -28,6 +28,10 @@ def _listed(vectors, zeros: bool = False):
     return rows if zeros else rows.where("value <> 0")
 
 
+def _entries(rows):
+    return rows.select("id", F.col("pos").cast("long").alias("pos"), F.round("value", 6).alias("value"))
+
+
 CATEGORICAL = """brand AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS pos FROM (SELECT DISTINCT coalesce(p_brand, '__missing__') AS v FROM part)),
  kind AS (SELECT v, (SELECT count(*) FROM brand) + row_number() OVER (ORDER BY v) - 1 AS pos FROM (SELECT DISTINCT coalesce(p_type, '__missing__') AS v FROM part)),
  cat AS (SELECT p_partkey AS id, pos, 1 / sqrt(2) AS x FROM part JOIN brand ON coalesce(p_brand, '__missing__') = v UNION ALL SELECT p_partkey, pos, 1 / sqrt(2) FROM part JOIN kind ON coalesce(p_type, '__missing__') = v)"""
@@ -46,7 +50,7 @@ PROFILE = f"""{SPLIT}, {EMBEDDED},
 
 @query(f"WITH {CATEGORICAL} SELECT id, pos, round(x, 6) AS value FROM cat")
 def feat_categorical_onehot(spark, d):
-    return _listed(features.categorical(table(spark, d, "part"), "p_partkey", ["p_brand", "p_type"]))
+    return _entries(features.sparse_categorical(table(spark, d, "part"), "p_partkey", ["p_brand", "p_type"]))
 
 
 @query(f"WITH {NUMERIC} SELECT id, round(n0, 6) AS size, round(n1, 6) AS price FROM num")
@@ -72,8 +76,7 @@ def feat_embedding_normalised(spark, d):
  f AS (SELECT id, pos, x FROM cat UNION ALL SELECT id, k, n0 FROM num, w UNION ALL SELECT id, k + 1, n1 FROM num, w), n AS (SELECT id, sqrt(sum(x * x)) AS n FROM f GROUP BY id)
 SELECT * FROM (SELECT id, pos, round(x / n, 6) AS value FROM f JOIN n USING (id)) WHERE value <> 0""")
 def feat_early_fusion(spark, d):
-    part = table(spark, d, "part")
-    return _listed(features.early_fusion(features.blocks(part, "p_partkey", {"categorical": ["p_brand", "p_type"], "numerical": ["p_size", "p_retailprice"]})))
+    return _entries(features.sparse_early_fusion(table(spark, d, "part"), "p_partkey", ["p_brand", "p_type"], ["p_size", "p_retailprice"])).where("value <> 0")
 
 
 @query(f"WITH {EMBEDDED} SELECT p_partkey AS item, 64 AS dims, round(coalesce(sum(x), 0), 6) AS total FROM part LEFT JOIN emb ON p_partkey = id GROUP BY 1")
