@@ -331,3 +331,38 @@ def test_searches_send_no_pairs_and_build_their_graphs_once(spark):
         assert len(exact & {(r["user"], r["item"]) for r in found.collect()}) >= 0.9 * len(exact)
     assert "FlatMapGroupsInArrow" not in plan(ann.graph_search(v, items, 3, part_rows=100))
     assert len(exact & {(r["user"], r["item"]) for r in ann.ivfpq(v, items, 3, bits=4).collect()}) >= 0.9 * len(exact)
+
+
+def test_splits_sort_a_users_rows_once(spark):
+    df = events(spark, [("a", "x", 1), ("a", "y", 2), ("b", "x", 1)])
+    for marked in (splits.leave_last_out(df, "user", ["ts", "item"]), splits.leave_random_out(df, "user", ["ts", "item"])):
+        plan = marked._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Window [") == 1 and "unboundedfollowing" not in plan
+        assert pairs(marked.where("held"), "user") == [("a",)]
+    parts = splits.three_way(df.unionByName(events(spark, [("a", "z", 3)])), "temporal", user="user", timestamp="ts", keys=["item"])
+    assert [pairs(p, "user", "item") for p in parts] == [[("a", "x"), ("b", "x")], [("a", "y")], [("a", "z")]]
+
+
+def test_profiles_send_a_row_for_each_item_of_a_user(spark):
+    rng = np.random.default_rng(2)
+    x, seen = rng.normal(size=(9, 5)), sorted({(int(u), int(i)) for u, i in zip(rng.integers(0, 30, 200), rng.integers(0, 12, 200))})
+    vectors = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, vec array<double>")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        made = features.profiles(spark.createDataFrame(seen, "user long, item long"), vectors)
+        assert "Generate" not in made._jdf.queryExecution().optimizedPlan().toString()  # no row for each position
+        found = {r["user"]: np.array(r["vec"]) for r in made.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    means = {u: x[[i for v, i in seen if v == u and i < 9]].mean(0) for u in {u for u, i in seen if i < 9}}
+    assert found.keys() == means.keys() and all(np.allclose(found[u], m / np.linalg.norm(m)) for u, m in means.items())
+
+
+def test_sparse_places_equal_the_dense_vectors_without_them(spark):
+    rows = spark.createDataFrame([(1, "a", None, 2.0), (2, "b", "x", 4.0), (3, None, "y", None), (4, "b", "y", 9.0)], "k long, c string, e string, n double")
+    dense = lambda v: {(r["id"], p, round(x, 9)) for r in v.collect() for p, x in enumerate(r["vec"]) if x}
+    sparse = lambda v: {(r["id"], r["pos"], round(r["value"], 9)) for r in v.collect()}
+    assert sparse(features.sparse_categorical(rows, "k", ["c", "e"])) == dense(features.categorical(rows, "k", ["c", "e"]))
+    parts = features.blocks(rows, "k", {"categorical": ["c", "e"], "numerical": ["n"]})
+    assert sparse(features.sparse_early_fusion(rows, "k", ["c", "e"], ["n"])) == dense(features.early_fusion(parts))
