@@ -366,3 +366,16 @@ def test_sparse_places_equal_the_dense_vectors_without_them(spark):
     assert sparse(features.sparse_categorical(rows, "k", ["c", "e"])) == dense(features.categorical(rows, "k", ["c", "e"]))
     parts = features.blocks(rows, "k", {"categorical": ["c", "e"], "numerical": ["n"]})
     assert sparse(features.sparse_early_fusion(rows, "k", ["c", "e"], ["n"])) == dense(features.early_fusion(parts))
+
+
+def test_recommendations_read_the_split_of_interactions_once(spark):
+    """Lists and held-out rows come from one table of training pairs, whose counts are those of the plain split."""
+    from tidewise.plans.interaction_queries import training, training_pairs
+    from tidewise.plans.model_queries import both_recs
+
+    at = "/root/testdata/sf0.001"
+    recs, test = both_recs(spark, at)
+    assert not any("lineitem" in f or "orders" in f for f in recs.inputFiles() + test.inputFiles())
+    for plain, pairs in zip(training(spark, at), training_pairs(spark, at)):
+        want = plain.groupBy("user", "item").agg(F.min("ts").alias("ts"), F.count(F.lit(1)).alias("n"))
+        assert sorted(map(tuple, pairs.select("user", "item", "ts", "n").collect())) == sorted(map(tuple, want.collect()))
