@@ -389,3 +389,21 @@ def test_profile_counts_pairs_with_nulls_and_lists_only_pairs(spark):
     assert found.columns == ["n_rows", "n_users", "n_items", "n_pairs", "first_ts", "last_ts"]
     assert tuple(found.first()) == (5, 2, 1, 4, 3, 9)
     assert tuple(validate.profile(rows.limit(0), "u", "i", "t").first()) == (0, 0, 0, 0, None, None)
+
+
+def test_hubs_leave_by_degrees_of_all_edges_that_are_read_from_kept_tables(spark, tmp_path):
+    from tidewise.operators import graph
+
+    edges = [(u, i) for u in range(20) for i in range(20) if i == 0 or u == 0 or (u + i) % 7 == 0] + [(3, 4), (3, 4)]
+    du, di = ({n: sum(e[side] == n for e in edges) for n in {e[side] for e in edges}} for side in (0, 1))
+    cut_u, cut_i = (sorted(d.values())[round(0.9 * (len(d) - 1))] for d in (du, di))
+    made = []
+
+    def keep(df):
+        made.append(f"{tmp_path}/{len(made)}")
+        df.write.parquet(made[-1])
+        return spark.read.parquet(made[-1])
+
+    left = graph.without_hubs(spark.createDataFrame(edges, "user int, item int"), 0.9, keep)
+    assert sorted(map(tuple, left.collect())) == sorted(e for e in edges if du[e[0]] <= cut_u and di[e[1]] <= cut_i)
+    assert len(made) == 3
