@@ -407,3 +407,9 @@ def test_hubs_leave_by_degrees_of_all_edges_that_are_read_from_kept_tables(spark
     left = graph.without_hubs(spark.createDataFrame(edges, "user int, item int"), 0.9, keep)
     assert sorted(map(tuple, left.collect())) == sorted(e for e in edges if du[e[0]] <= cut_u and di[e[1]] <= cut_i)
     assert len(made) == 3
+
+
+def test_edge_weights_read_a_graph_of_neighbours_that_was_searched_once(spark):
+    from tidewise.plans.content_queries import src_degree_edge_weight
+
+    assert not any("embeddings" in f for f in src_degree_edge_weight(spark, "/root/testdata/sf0.001").inputFiles())

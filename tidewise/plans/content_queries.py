@@ -213,7 +213,7 @@ def user_cooccurrence_topk(spark, d):
  g AS (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY w DESC, dst::VARCHAR) AS rank FROM s) WHERE rank <= 10), o AS (SELECT src AS node, count(*) AS d FROM g GROUP BY 1)
 SELECT g.src, g.dst, round(1 / sqrt(greatest(a.d, 1) * greatest(coalesce(b.d, 0), 1)), 6) AS w FROM g JOIN o a ON a.node = src LEFT JOIN o b ON b.node = dst""")
 def src_degree_edge_weight(spark, d):
-    return graph.source_weights(_graph(spark, d).select("src", "dst")).withColumn("w", F.round("w", 6))
+    return graph.source_weights(kept(_graph(spark, d).select("src", "dst"))).withColumn("w", F.round("w", 6))
 
 
 @query("""WITH v AS (SELECT vec_id AS id, list_transform(embedding[1:8], lambda x: x::DOUBLE) AS v FROM embeddings), n AS (SELECT id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS r FROM v)
