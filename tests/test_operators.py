@@ -413,3 +413,22 @@ def test_edge_weights_read_a_graph_of_neighbours_that_was_searched_once(spark):
     from tidewise.plans.content_queries import src_degree_edge_weight
 
     assert not any("embeddings" in f for f in src_degree_edge_weight(spark, "/root/testdata/sf0.001").inputFiles())
+
+
+def test_mean_of_sides_is_the_mean_of_layers_over_weighted_edges(spark):
+    from tidewise.operators import graph
+
+    rng = random.Random(3)
+    edges = spark.createDataFrame([(rng.randrange(6), rng.randrange(5)) for _ in range(25)], "user int, item int")
+    pairs = edges.groupBy("user", "item").agg(F.count(F.lit(1)).alias("n"))
+    users, items = (edges.select(side).distinct().select(side, (F.col(side) * 0.3 + 1).alias("x0"), F.sin(side).alias("x1")) for side in ("user", "item"))
+    listed = lambda u, i: u.select(F.concat(F.lit("u"), "user").alias("node"), F.posexplode(F.array("x0", "x1")).alias("pos", "x")).unionByName(i.select(F.concat(F.lit("i"), "item").alias("node"), F.posexplode(F.array("x0", "x1")).alias("pos", "x")))
+    of = lambda rows: {(r["node"], r["pos"]): r["x"] for r in rows.collect()}
+    want = of(graph.layer_mean(graph.bipartite(graph.symmetric_weights(edges)), listed(users, items), 2))
+    assert of(listed(*graph.mean_of_sides(pairs, users, items, 2))) == pytest.approx(want, abs=1e-12)
+
+
+def test_propagation_query_reads_the_interactions_once(spark):
+    from tidewise.plans.content_queries import lightgcn_two_layer_mean
+
+    assert not any("lineitem" in f for f in lightgcn_two_layer_mean(spark, "/root/testdata/sf0.001").inputFiles())
