@@ -432,3 +432,26 @@ def test_propagation_query_reads_the_interactions_once(spark):
     from tidewise.plans.content_queries import lightgcn_two_layer_mean
 
     assert not any("lineitem" in f for f in lightgcn_two_layer_mean(spark, "/root/testdata/sf0.001").inputFiles())
+
+
+def test_nearest_leaves_out_cells_and_what_is_seen_inside_a_task(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    angle = rng.uniform(0, 2 * np.pi, 700).round(2)  # many equal vectors, so many ties
+    x = np.stack([np.cos(angle), np.sin(angle)], 1)
+    for name in (lambda j: j * 7, lambda j: f"é{j}"):
+        ids = [name(j) for j in range(len(x))]
+        kind = "long" if isinstance(ids[0], int) else "string"
+        q = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x[:25])], "user long, vec array<double>")
+        i = spark.createDataFrame([(n, v.tolist()) for n, v in zip(ids, x)], f"item {kind}, vec array<double>")
+        near = np.argsort(-(x[:25] @ x.T), axis=1, kind="stable")[:, :30]
+        seen = {(k, int(j)) for k in range(25) for j in near[k] if (k + j) % 3 == 0}
+        spare = spark.createDataFrame([(k, ids[j]) for k, j in seen], f"user long, item {kind}")
+        for block in (None, 300):
+            found = top_by_dot(q, i, 5, spare=spare, block=block)
+            assert "LeftAnti" not in found._jdf.queryExecution().optimizedPlan().toString()  # lists as long as histories were shuffled for it
+            got = {(r["user"], r["rank"]): r["item"] for r in found.collect()}
+            for k in range(25):
+                order = sorted((j for j in range(len(x)) if (k, j) not in seen), key=lambda j: (-round(float(x[k] @ x[j]), 6), str(ids[j]).encode()))[:5]
+                assert [got[k, n + 1] for n in range(5)] == [ids[j] for j in order]
