@@ -455,3 +455,17 @@ def test_nearest_leaves_out_cells_and_what_is_seen_inside_a_task(spark):
             for k in range(25):
                 order = sorted((j for j in range(len(x)) if (k, j) not in seen), key=lambda j: (-round(float(x[k] @ x[j]), 6), str(ids[j]).encode()))[:5]
                 assert [got[k, n + 1] for n in range(5)] == [ids[j] for j in order]
+
+
+#: Queries over the split of interactions, which is made once for each.
+ONE_SPLIT = [
+    "late_fusion_topk",
+]
+
+
+@pytest.mark.parametrize("name", ONE_SPLIT)
+def test_query_reads_interactions_once(spark, name):
+    from tidewise.plans import catalogue
+
+    files = catalogue.queries()[name](spark, "/root/testdata/sf0.001").inputFiles()
+    assert files and not any("lineitem" in f or "orders" in f for f in files)
