@@ -460,6 +460,7 @@ def test_nearest_leaves_out_cells_and_what_is_seen_inside_a_task(spark):
 #: Queries over the split of interactions, which is made once for each.
 ONE_SPLIT = [
     "late_fusion_topk",
+    "metric_coverage",
 ]
 
 
