@@ -461,6 +461,7 @@ def test_nearest_leaves_out_cells_and_what_is_seen_inside_a_task(spark):
 ONE_SPLIT = [
     "late_fusion_topk",
     "metric_coverage",
+    "metric_hit_rate",
 ]
 
 
