@@ -462,6 +462,7 @@ ONE_SPLIT = [
     "late_fusion_topk",
     "metric_coverage",
     "metric_hit_rate",
+    "metric_map",
 ]
 
 
