@@ -463,6 +463,7 @@ ONE_SPLIT = [
     "metric_coverage",
     "metric_hit_rate",
     "metric_map",
+    "metric_mrr",
 ]
 
 
