@@ -464,6 +464,7 @@ ONE_SPLIT = [
     "metric_hit_rate",
     "metric_map",
     "metric_mrr",
+    "metric_ndcg",
 ]
 
 
