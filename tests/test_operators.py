@@ -465,6 +465,7 @@ ONE_SPLIT = [
     "metric_map",
     "metric_mrr",
     "metric_ndcg",
+    "metric_precision",
 ]
 
 
