@@ -466,6 +466,7 @@ ONE_SPLIT = [
     "metric_mrr",
     "metric_ndcg",
     "metric_precision",
+    "metric_recall",
 ]
 
 
