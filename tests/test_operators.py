@@ -467,6 +467,7 @@ ONE_SPLIT = [
     "metric_ndcg",
     "metric_precision",
     "metric_recall",
+    "predict_fused_candidate_set",
 ]
 
 
