@@ -468,6 +468,7 @@ ONE_SPLIT = [
     "metric_precision",
     "metric_recall",
     "predict_fused_candidate_set",
+    "rrf_fusion_uniform",
 ]
 
 
