@@ -469,6 +469,7 @@ ONE_SPLIT = [
     "metric_recall",
     "predict_fused_candidate_set",
     "rrf_fusion_uniform",
+    "rrf_fusion_weighted",
 ]
 
 
