@@ -479,3 +479,72 @@ def test_query_reads_interactions_once(spark, name):
 
     files = catalogue.queries()[name](spark, "/root/testdata/sf0.001").inputFiles()
     assert files and not any("lineitem" in f or "orders" in f for f in files)
+
+
+def _shuffle_bytes(spark):
+    """Bytes of shuffle files on disk, after Spark has had the time to remove those that it was told to."""
+    import time
+
+    disk, last = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager(), None
+    for _ in range(20):
+        files = disk.getAllFiles()
+        now = sum(files.apply(k).length() for k in range(files.size()) if files.apply(k).getName().startswith("shuffle_"))
+        if now == last:
+            break
+        last = now
+        time.sleep(0.5)
+    return now
+
+
+#: Queries whose shared step takes its shuffle files from the disk.
+LEFT_CLEAN = [
+    "metric_coverage",
+]
+
+
+@pytest.mark.parametrize("name", LEFT_CLEAN)
+def test_query_leaves_no_shuffle_files_of_its_shared_step(spark, name):
+    from tidewise.plans import catalogue
+
+    before = _shuffle_bytes(spark)
+    catalogue.queries()[name](spark, "/root/testdata/sf0.001")
+    assert _shuffle_bytes(spark) <= before
+
+
+@pytest.mark.parametrize("name", ["metric_coverage", "predict_fused_candidate_set"])
+def test_query_in_parts_gives_the_rows_of_one_part(spark, name, monkeypatch):
+    from tidewise.operators import baskets
+    from tidewise.plans import catalogue
+    from tidewise.sources.shared import Folder
+
+    at, query, saves, save = "/root/testdata/sf0.001", catalogue.queries()[name], [], Folder.save
+    monkeypatch.setattr(Folder, "save", lambda self, df, n: saves.append(n) or save(self, df, n))
+    plain, whole = sorted(map(tuple, query(spark, at).collect())), len(saves)
+    monkeypatch.setattr(baskets, "PART_BYTES", 250_000)
+    assert sorted(map(tuple, query(spark, at).collect())) == plain and len(saves) > 2 * whole + 2
+
+
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_lists_in_parts_give_the_rows_of_lists_at_once(spark, tmp_path, monkeypatch, kind):
+    from tidewise.operators import baskets
+
+    monkeypatch.setattr(baskets, "PART_BYTES", 4000)
+    made = []
+
+    def keep(df):
+        made.append(f"{tmp_path}/{len(made)}")
+        df.write.parquet(made[-1])
+        return spark.read.parquet(made[-1])
+
+    rng = random.Random(11)
+    df = spark.createDataFrame([(rng.randrange(30), rng.randrange(40), k) for k in range(300)], "user long, item long, ts long").withColumn("item", F.col("item").cast(kind))
+    h, seen = itemcf.capped_history(df), history.seen_pairs(df)
+    near, popular = itemcf.neighbours(h, 5, 6), itemcf.history_popularity(h)
+    near_in_parts = itemcf.neighbours(h, 5, 6, keep)
+    assert len(made) > 4 and sorted(map(tuple, near_in_parts.collect())) == sorted(map(tuple, near.collect()))
+    ten = lambda users, near, **more: sorted(map(tuple, itemcf.recommend(users, seen, near, popular, 3, 6, **more).collect()))
+    some = df.where("user % 3 = 0")
+    assert ten(seen, keep(near), keep=keep) == ten(seen, near) and ten(some, keep(near), keep=keep) == ten(some, near)
+    wanted = seen.where("user % 2 = 0")
+    scores = lambda *more: [(u, i, round(s, 9)) for u, i, s in sorted(map(tuple, itemcf.score_pairs(wanted, seen, near, popular, *more).collect()))]
+    assert scores(keep) == scores()

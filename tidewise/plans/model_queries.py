@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import fusion, history, itemcf, metrics
 from .inputs import ITEMCF, RECS
-from .interaction_queries import training, training_pairs
+from .interaction_queries import kept, training, training_pairs
 
 QUERIES, SQL = {}, {}
 NEAR = 20
@@ -55,10 +55,16 @@ def itemcf_candidate_scores(spark, d):
     return _renamed(itemcf.candidate_scores(history.seen_pairs(train), _near(train), 6))
 
 
+def _near_and_popular(train):
+    """Neighbours and popularity over the capped histories of training pairs, as tables that are kept."""
+    capped = train.where(F.col("place") <= itemcf.HISTORY).select("user", "item", F.col("ts").alias("first_ts"))
+    return itemcf.neighbours(capped, NEAR, 6, kept), kept(itemcf.history_popularity(capped))
+
+
 def itemcf_recs(train, k=10):
-    """train: training pairs, which are dealt by user for their histories only."""
-    seen, dealt = train.select("user", "item"), train.repartition("user")
-    return itemcf.recommend(seen, seen, _near(dealt), itemcf.history_popularity(itemcf.capped_history(dealt)), k, 6)
+    """train: training pairs."""
+    seen = train.select("user", "item")
+    return kept(itemcf.recommend(seen, seen, *_near_and_popular(train), k, 6, keep=kept))
 
 
 @query(f"WITH {ITEMCF} SELECT uid, iid, rank, round(score, 9) AS score FROM cf_recs")
@@ -78,7 +84,7 @@ def both_recs(spark, d):
     """Popularity's and ItemCF's ten for each training user, and the held-out rows."""
     train, test = training_pairs(spark, d)
     seen, columns = train.select("user", "item"), ("user", "item", "rank", "score")
-    popular = history.popular_unseen(seen, history.popularity(train, "n"), seen, 10)
+    popular = kept(history.popular_unseen(seen, kept(history.popularity(train, "n")), seen, 10))
     near = itemcf_recs(train)
     return popular.select(*columns, F.lit("Popularity").alias("model")).unionByName(near.select(*columns, F.lit("ItemCF").alias("model"))), test
 
@@ -162,11 +168,10 @@ def stacking_weights(spark, d):
  k AS (SELECT *, row_number() OVER (PARTITION BY model, uid ORDER BY score DESC, iid::VARCHAR) AS rank FROM sc), f AS (SELECT uid, iid, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM k GROUP BY 1, 2)
 SELECT test.uid, test.iid, f.score FROM test LEFT JOIN f ON test.uid = f.uid AND test.iid = f.iid""")
 def predict_fused_candidate_set(spark, d):
-    kept, test = training_pairs(spark, d)
-    train, pairs = kept.repartition("user"), test.select("user", "item")
-    capped = itemcf.capped_history(train)
-    cf = itemcf.score_pairs(pairs, kept.select("user", "item"), _near(train), itemcf.history_popularity(capped)).withColumn("model", F.lit("ItemCF"))
-    pop = pairs.join(history.popularity(kept, "n").select("item", "score"), "item", "left").fillna(0.0, ["score"]).withColumn("model", F.lit("Popularity"))
+    train, test = training_pairs(spark, d)
+    pairs = test.select("user", "item")
+    cf = itemcf.score_pairs(pairs, train.select("user", "item"), *_near_and_popular(train), kept).withColumn("model", F.lit("ItemCF"))
+    pop = pairs.join(history.popularity(train, "n").select("item", "score"), "item", "left").fillna(0.0, ["score"]).withColumn("model", F.lit("Popularity"))
     scored = cf.unionByName(pop.select("user", "item", "score", "model")).withColumn("score", F.round("score", 9))
     ranks = history.top_k(scored, 2**31 - 1, ("model", "user"))
     fused = fusion.reciprocal_rank_fusion(ranks, 2**31 - 1, digits=9).select("user", "item", "score")
