@@ -500,6 +500,7 @@ def _shuffle_bytes(spark):
 LEFT_CLEAN = [
     "metric_coverage",
     "metric_hit_rate",
+    "metric_map",
 ]
 
 
