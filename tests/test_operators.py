@@ -501,6 +501,7 @@ LEFT_CLEAN = [
     "metric_coverage",
     "metric_hit_rate",
     "metric_map",
+    "metric_mrr",
 ]
 
 
