@@ -502,6 +502,7 @@ LEFT_CLEAN = [
     "metric_hit_rate",
     "metric_map",
     "metric_mrr",
+    "metric_ndcg",
 ]
 
 
