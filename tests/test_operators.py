@@ -503,6 +503,7 @@ LEFT_CLEAN = [
     "metric_map",
     "metric_mrr",
     "metric_ndcg",
+    "metric_precision",
 ]
 
 
