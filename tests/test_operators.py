@@ -504,6 +504,7 @@ LEFT_CLEAN = [
     "metric_mrr",
     "metric_ndcg",
     "metric_precision",
+    "metric_recall",
 ]
 
 
