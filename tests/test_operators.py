@@ -90,6 +90,23 @@ def test_fusion(spark):
     assert fusion.fit_weights(recs, truth.limit(0), ["A", "B"]) == {"A": 1.0, "B": 1.0}
 
 
+@pytest.mark.parametrize("patterns", [None, 3])
+def test_fusion_weights_learn_from_all_users(spark, monkeypatch, patterns):
+    """6,000 users, more than the former sample held; with few patterns allowed the tasks fit them."""
+    if patterns:
+        monkeypatch.setattr(fusion, "PATTERNS", patterns)
+    users = spark.range(6000).select(F.col("id").cast("string").alias("user"), (F.pmod(F.xxhash64(F.lit(42), F.col("id").cast("string")), F.lit(4)) + 1).cast("int").alias("r"))
+    recs = users.select("user", F.lit("a").alias("item"), F.lit(1).alias("rank"), F.lit("A").alias("model")).unionByName(users.select("user", F.lit("b").alias("item"), "r", F.lit("B").alias("model")).withColumnRenamed("r", "rank"))
+    truth = users.where("r > 1").select("user", F.lit("a").alias("item")).unionByName(users.where("r < 4").select("user", F.lit("b").alias("item")))
+    found = fusion.fit_weights(recs, truth, ["A", "B"])
+    rows = fusion.stacking_features(recs, truth, ["A", "B"]).toPandas()
+    assert len(rows) == 12000
+    w = np.maximum(fusion.logistic_weights(rows[["A", "B"]].to_numpy(), rows["label"].to_numpy())[:2], 0)
+    want = w / w.sum()
+    assert min(want) > 0.01
+    assert [found["A"], found["B"]] == pytest.approx(list(want), abs=1e-9)
+
+
 def test_popular_unseen_is_what_a_cross_join_gives(spark):
     rng = random.Random(1)
     df = events(spark, [(f"u{rng.randrange(12)}", f"i{rng.randrange(15)}", k) for k in range(150)])
