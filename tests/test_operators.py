@@ -574,3 +574,22 @@ def test_lists_in_parts_give_the_rows_of_lists_at_once(spark, tmp_path, monkeypa
     wanted = seen.where("user % 2 = 0")
     scores = lambda *more: [(u, i, round(s, 9)) for u, i, s in sorted(map(tuple, itemcf.score_pairs(wanted, seen, near, popular, *more).collect()))]
     assert scores(keep) == scores()
+
+
+def test_neighbours_of_equal_vectors_are_those_of_all_pairs(spark, monkeypatch):
+    """Zeros, one-hot vectors and a few others: the lists are top_by_dot's, but a search meets no more than k + 1 of each."""
+    from tidewise.operators import nearest
+
+    rng, rows = np.random.default_rng(5), []
+    for node in rng.permutation(300):
+        vec = [np.zeros(4), np.eye(4)[rng.integers(4)], (x := rng.normal(size=4)) / np.linalg.norm(x)][rng.integers(3)]
+        rows.append((int(node), vec.tolist()))
+    v = spark.createDataFrame(rows, "node long, vec array<double>")
+    want = top_by_dot(v.withColumnRenamed("node", "user"), v.withColumnRenamed("node", "item"), 5, exclude_self=True)
+    met, search = [], nearest.top_by_dot
+    monkeypatch.setattr(nearest, "top_by_dot", lambda q, i, k, **more: met.append((q.count(), i.count())) or search(q, i, k, **more))
+    got = nearest.neighbours_of_copies(v, 5)
+    columns = ("user", "item", "score", "rank")
+    assert pairs(got, *columns) == pairs(want, *columns)
+    different = len({tuple(vec) for _, vec in rows})
+    assert met == [(different, different - 5 + 5 * 6)]
