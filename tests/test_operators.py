@@ -576,6 +576,28 @@ def test_lists_in_parts_give_the_rows_of_lists_at_once(spark, tmp_path, monkeypa
     assert scores(keep) == scores()
 
 
+#: Queries whose shared step is read as whole tables and broadcasts no table that grows.
+LIGHT_DRIVER = ["leaderboard_join", "itemcf_recommend_backfill", "metric_auc", *[n for n in LEFT_CLEAN if n != "predict_fused_candidate_set"]]
+
+
+@pytest.mark.parametrize("name", LIGHT_DRIVER)
+def test_plan_neither_grows_with_parts_nor_broadcasts_users(spark, name, monkeypatch):
+    import re
+
+    from tidewise.operators import baskets
+    from tidewise.plans import catalogue
+    from tidewise.sources.shared import Folder
+
+    plans, save = [], Folder.save
+    monkeypatch.setattr(Folder, "save", lambda self, df, n: plans.append(df) or save(self, df, n))
+    monkeypatch.setattr(baskets, "PART_BYTES", 150_000)
+    found = catalogue.queries()[name](spark, "/root/testdata/sf0.001")
+    whole = [df._jdf.queryExecution().optimizedPlan().toString() for df in [*plans, found]]
+    assert len(plans) > 8 and max(len(re.findall("Relation ", p)) for p in whole) <= 16  # each of the parts was a scan
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"BroadcastHashJoin \[user", text)
+
+
 def test_neighbours_of_equal_vectors_are_those_of_all_pairs(spark, monkeypatch):
     """Zeros, one-hot vectors and a few others: the lists are top_by_dot's, but a search meets no more than k + 1 of each."""
     from tidewise.operators import nearest

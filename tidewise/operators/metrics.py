@@ -52,10 +52,10 @@ def _sums(k: int) -> dict:
 
 
 def _marked(recs: DataFrame, truth: DataFrame, *columns: str) -> DataFrame:
-    """(model, user, rank, r, hit, hits, misses) of recs. A user's relevant items are one array, so lists that are dealt by user stay where they are."""
+    """(model, user, rank, r, hit, hits, misses) of recs. A user's relevant items are one array, so lists that are dealt by user stay where they are. No table of users is broadcast, however few bytes it has."""
     relevant = truth.groupBy("user").agg(F.collect_set("item").alias("relevant"))
     hit = F.coalesce(F.array_contains("relevant", F.col("item")).cast("int"), F.lit(0))
-    rows = recs.join(relevant, "user", "left").select("model", "user", "rank", F.size("relevant").alias("r"), hit.alias("hit"), *columns)
+    rows = recs.join(relevant.hint("merge"), "user", "left").select("model", "user", "rank", F.size("relevant").alias("r"), hit.alias("hit"), *columns)
     run = Window.partitionBy("model", "user").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("hits", F.sum("hit").over(run)).withColumn("misses", F.sum(1 - F.col("hit")).over(run))
 
@@ -69,7 +69,7 @@ def user_metrics(recs: DataFrame, truth: DataFrame, k: int, models: list[str] |
     sizes = truth.groupBy("user").agg(F.countDistinct("item").alias("r"))
     per = _marked(recs.where(F.col("rank") <= k), truth).groupBy("model", "user").agg(*[c.alias(n) for n, c in _sums(k).items()])
     named = sizes.select("*", F.explode(F.array(*[F.lit(m) for m in models])).alias("model")) if models else sizes.crossJoin(F.broadcast(recs.select("model").distinct()))  # a row for each model
-    x = named.join(per, ["model", "user"], "left").fillna(0, ["p", "h", "dcg", "precisions", "above"])
+    x = named.join(per.hint("merge"), ["model", "user"], "left").fillna(0, ["p", "h", "dcg", "precisions", "above"])
     names = ("p", "h", "r", "first", "dcg", "precisions", "above")
     return x.select("model", "user", *[c.alias(n) for n, c in _by_user(*map(F.col, names)).items()])
 
