@@ -134,6 +134,32 @@ def test_factor_loss_falls(spark, clustered):
     assert model.losses[-1] < model.losses[0] - 0.02 and model.users.count() == 36
 
 
+@pytest.mark.parametrize("content", [False, True])
+def test_factors_in_blocks_learn_every_pair_and_pass_no_table_to_the_driver(spark, monkeypatch, content):
+    """Three groups and blocks: each epoch learns from every pair once, and the driver gets one short row from each task."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from tidewise.models import factors
+
+    monkeypatch.setattr(factors, "PAIRS_PER_TASK", 90)
+    monkeypatch.setattr(factors, "BLOCK", 8)
+    got, collect = [], DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda self: got.append(collect(self)) or got[-1])
+    monkeypatch.setattr(spark, "createDataFrame", None)
+    df = spark.range(3200).select((F.col("id") % 40).alias("user"), (F.col("id") % 40 % 2 * 16 + F.pmod(F.xxhash64("id"), F.lit(16))).alias("item")).distinct()
+    n, catalog = df.count(), spark.range(33).select(F.col("id").alias("item"))
+    vec = catalog.select("item", F.array(*[F.cos(F.col("item") * k) for k in range(3)]).alias("vec")).where("item < 32") if content else None
+    model = factors.FactorModel(factors=4, epochs=3, learning_rate=0.1, batch_size=32, content_factors=2 if content else 0).fit(df, catalog, vec)
+    told = [rows for rows in got if rows and "seen" in rows[0].asDict()]
+    rounds = len(told) // 3
+    sums = [sum(r["seen"] for rows in told[k * rounds : (k + 1) * rounds] for r in rows) for k in range(3)]
+    assert rounds == 3 and all(0.95 * n < x <= n for x in sums)  # a user who has all items of a block has no negative there
+    assert max(map(len, got)) <= 3 and model.losses[-1] < model.losses[0]
+    items, users = (sorted((r[0], len(r[1])) for r in collect(t)) for t in (model.items, model.users))
+    width = 7 if content else 5
+    assert items == [(k, width) for k in range(33)] and users == [(k, width) for k in range(40)]
+
+
 def test_graph_loss_falls(spark, clustered, items):
     df = _inner(spark, clustered)
     model = LightGCN(factors=4, epochs=5, learning_rate=0.1).fit(df, df.select("item").distinct())
